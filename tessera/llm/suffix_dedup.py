@@ -158,7 +158,8 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
 
     blocks = scratch.keep(map_batches(docs, anchors, f"doc_id {kind}, text_key bigint, h bigint, c bigint, place bigint"), "blocks")
     # Anchors found twice or more, and whether with one content only.
-    twice = blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Written, so that the join shuffles both its sides itself and can split a frequent string.
+    twice = scratch.keep(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "twice")
     shared = scratch.keep(blocks.join(twice, "h"), "shared")
     scratch.drop("blocks")
     contents = scratch.keep(shared.filter("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "text_key", "place"))).withColumn("block", F.monotonically_increasing_id()), "contents")
