@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import map_batches, texts_of
-from .vocab import Memo, byte_pieces, pattern, read_ranks, split_regex, vocabulary
+from .vocab import MEMO_ENTRIES, Memo, byte_pieces, pattern, read_ranks, split_regex, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -140,22 +140,12 @@ class TextCodec:
     def __init__(self, path: str):
         self.bpe = PrefixBpe(read_ranks(path))
         self.split = split_regex(pattern())
-        self.words: dict[str, bytes] = {}
-        self.first, self.later = Memo(self._pieces), Memo(self._pieces, " ")
+        self.words = Memo(lambda w: np.array(self.bpe.encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes(), most=MEMO_ENTRIES // 2)
+        self.first, self.later = Memo(self._piece), Memo(self._piece, " ")
         self.table = [self.bpe.bytes_of.get(i, b"") for i in range(max(self.bpe.bytes_of) + 1)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        out, words = [], self.words
-        if len(words) > 500_000:
-            words.clear()
-        for p in pieces:
-            found = []
-            for w in self.split.findall(p):
-                if (ids := words.get(w)) is None:
-                    ids = words[w] = np.array(self.bpe.encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                found.append(ids)
-            out.append(b"".join(found))
-        return out
+    def _piece(self, piece: str) -> bytes:
+        return b"".join(self.words.values_of(self.split.findall(piece)))
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids, little-endian unsigned 32-bit."""

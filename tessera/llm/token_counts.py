@@ -24,28 +24,16 @@ class WordCounter:
         self.by = LibraryWords(path)
         # The proof: words that stand in the vocabulary with their end and encode to one id by themselves.
         words = [v[: -len(END)] for v in self.by.lib.get_vocab() if v.endswith(END) and v.isascii()]
-        self.whole = {w for w in words if self.by.split(w.lower()) == [w] and len(self.by.ids(w)) == 1}
-        self.merged: dict[str, int] = {}
-        self.pieces = Memo(self._pieces)
-
-    def _pieces(self, pieces: list[str]) -> list[int]:
-        out, by, whole, merged = [], self.by, self.whole, self.merged
-        if len(merged) > MEMO_ENTRIES:
-            merged.clear()
-        for p in pieces:
-            if (split := by.pre_tokens(p)) is None:
-                out.append(len(by.whole_piece(p)))
-                continue
-            n = 0
-            for w in split:
-                if w in whole:
-                    n += 1
-                else:
-                    if (k := merged.get(w)) is None:
-                        k = merged[w] = len(by.ids(w))
-                    n += k
-            out.append(n)
-        return out
+        self.whole = {w for w in words if self.by.split(w.lower()) == [w] and self.by.merges.count(w) == 1}
+        self.merged = Memo(self.by.merges.count, most=MEMO_ENTRIES // 2)
+        self.pieces = Memo(self._piece)
+
+    def _piece(self, piece: str) -> int:
+        split = self.by.pre_tokens(piece)
+        if split is None:
+            return len(self.by.whole_piece(piece))
+        rest = [w for w in split if w not in self.whole]
+        return len(split) - len(rest) + sum(self.merged.values_of(rest))
 
     def __call__(self, text: str | None) -> int:
         return sum(self.pieces.values_of(text.split(" "))) if text else 0

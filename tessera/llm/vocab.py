@@ -7,9 +7,9 @@ full, and whatever it lacks is computed anew.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -65,22 +65,20 @@ def byte_pieces(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """piece -> packed little-endian unsigned 32-bit ids."""
+    """What pieces encode to; computes what it lacks, and is emptied between texts when full."""
 
-    def __init__(self, encode_all, prefix: str = ""):
+    def __init__(self, encode, prefix: str = "", most: int = MEMO_ENTRIES):
         super().__init__()
-        self.encode_all, self.prefix = encode_all, prefix
+        self.encode, self.prefix, self.most = encode, prefix, most
+
+    def __missing__(self, piece: str):
+        value = self[piece] = self.encode(self.prefix + piece if self.prefix else piece)
+        return value
 
     def values_of(self, pieces: list[str]) -> list:
-        found = [*map(self.get, pieces)]
-        if None in found:
-            new = list({p for p, v in zip(pieces, found) if v is None})
-            if len(self) + len(new) > MEMO_ENTRIES:
-                self.clear()
-                new = list(set(pieces))
-            self.update(zip(new, self.encode_all([self.prefix + p for p in new] if self.prefix else new)))
-            found = [*map(self.__getitem__, pieces)]
-        return found
+        if len(self) > self.most:
+            self.clear()
+        return [*map(self.__getitem__, pieces)]
 
 
 #: How the library shows bytes as characters; those that print stand for themselves.
@@ -96,61 +94,85 @@ def split_regex(text: str) -> regex.Pattern:
     return regex.compile(text.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", rf"[{WHITE}]").replace(r"\S", rf"[^{WHITE}]"))
 
 
+class Merges:
+    """The merges of a library file as ranks over bytes, run by tiktoken's merge loop.
+
+    A word-end suffix becomes the byte 255, which UTF-8 never has: joining a byte with it comes before all merges.
+    """
+
+    def __init__(self, path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        ids, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
+        byte_of = {c: b for b, c in _AS_CHAR.items()}
+        raw = lambda t: bytes(byte_of[c] for c in t.removesuffix(suffix)) + b"\xff" if suffix and t.endswith(suffix) else bytes(byte_of[c] for c in t)
+        tokens = [bytes([b]) for b in range(256)] + ([bytes([b, 255]) for b in range(256)] if suffix else [])
+        own = {raw(t): i for t, i in ids.items() if all(c in byte_of for c in t.removesuffix(suffix))}
+        tokens += [raw("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        self.end = b"\xff" if suffix else b""
+        self.ids = np.array([own.get(t, 0) for t in tokens], "<u4")
+        self.text = tiktoken.Encoding(os.path.basename(path), pat_str=pattern(), mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
+        self.piece = self.text._core_bpe.encode_single_piece
+
+    def of_word(self, word: str) -> bytes:
+        return self.ids[self.piece(word.encode() + self.end)].tobytes()
+
+    def count(self, word: str) -> int:
+        return len(self.piece(word.encode() + self.end))
+
+    def of_text(self, text: str) -> bytes:
+        """A whole text of a file that has the byte-level split and no normaliser."""
+        return self.ids[self.text.encode_to_numpy(text, disallowed_special=())].tobytes()
+
+
 class LibraryWords:
-    """Pieces to pre-tokens, and pre-tokens to ids by the library's merges. What needs more than that (special strings, scripts whose normalisation or case has rules) goes to the library as it is."""
+    """Pieces to pre-tokens. What needs more (special strings, scripts whose normalisation or case has rules) goes to the library as it is."""
 
     def __init__(self, path: str):
-        self.lib = library(path)
+        self.lib, self.merges = library(path), Merges(path)
         self.lower = self.lib.normalizer is not None
         self.split = split_regex(WORD_SPLIT if self.lower else pattern()).findall
         self.special = sorted(str(t.content) for t in self.lib.get_added_tokens_decoder().values())
-        self.merge = self.lib.model.tokenize
 
     def pre_tokens(self, piece: str) -> list[str] | None:
         """None: only the library can tell."""
-        if not (piece.isascii() or _PLAIN.fullmatch(piece)) or any(s in piece for s in self.special):
+        if not (piece.isascii() or _PLAIN.fullmatch(piece)) or "<" in piece and any(s in piece for s in self.special):
             return None
         return self.split(piece.lower() if self.lower else piece)
 
-    def ids(self, word: str) -> list[int]:
-        return [t.id for t in self.merge(word.encode().decode("latin-1").translate(_AS_CHAR))]
-
     def whole_piece(self, piece: str) -> list[int]:
         return self.lib.encode(piece, add_special_tokens=False).ids
 
 
 class LibraryIds:
-    """Whole texts to packed ids as the tokenizers library gives them, without special tokens added."""
+    """Whole texts to packed ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
+
+    A file with a normaliser that drops white space is encoded run by run between spaces, from a memo.
+    """
 
     def __init__(self, path: str):
         self.by = LibraryWords(path)
-        self.words: dict[str, bytes] = {}
-        # A normalizer that drops white space makes runs between any spaces independent.
-        self.first, self.later = Memo(self._pieces), Memo(self._pieces, "" if self.by.lower else " ")
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        out, words, by = [], self.words, self.by
-        if len(words) > MEMO_ENTRIES:
-            words.clear()
-        for p in pieces:
-            if (split := by.pre_tokens(p)) is None:
-                out.append(np.array(by.whole_piece(p), "<u4").tobytes())
-                continue
-            found = []
-            for w in split:
-                if (ids := words.get(w)) is None:
-                    ids = words[w] = array("I", by.ids(w)).tobytes()
-                found.append(ids)
-            out.append(b"".join(found))
-        return out
+        if not all("<" in s for s in self.by.special):
+            raise ValueError("special strings without < are not known here")
+        self.words = Memo(self.by.merges.of_word, most=MEMO_ENTRIES // 2)
+        self.pieces = Memo(self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        split = self.by.pre_tokens(piece)
+        if split is None:
+            return np.array(self.by.whole_piece(piece), "<u4").tobytes()
+        return b"".join(self.words.values_of(split))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.by.lower:
-            return b"".join(self.later.values_of(text.split(" ")))
-        head, *rest = byte_pieces(text)
-        return b"".join((self.first.values_of([head]) if head else []) + self.later.values_of(rest))
+            return b"".join(self.pieces.values_of(text.split(" ")))
+        if any(s in text for s in self.by.special):
+            return np.array(self.by.whole_piece(text), "<u4").tobytes()
+        return self.by.merges.of_text(text)
 
 
 @lru_cache(None)
