@@ -71,7 +71,7 @@ class LineField:
         self.weights, self.steps, self.bias = weights, steps, bias
 
     def emissions(self, features: np.ndarray) -> np.ndarray:
-        return self.weights[features].sum(1) + self.bias
+        return sum(self.weights[column] for column in features.T) + self.bias
 
     def marginals(self, good: np.ndarray, lines_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """P(good) of each line, the expected transitions, and the log of each document's partition.
@@ -119,14 +119,16 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return LineField(np.zeros(FEATURES), np.zeros((2, 2)), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    features, _, lines_of = line_features(encoded(texts))
+    raw = encoded(texts)
+    found = [line_features(raw[a:b]) for a, b in sliced(raw, 1 << 20)]
+    features, lines_of = np.concatenate([f.astype(np.int16) for f, _, _ in found]), np.concatenate([n for _, _, n in found])
+    del raw, found
     doc = np.repeat(np.arange(len(texts)), lines_of)
     importance = (1 / np.sqrt(lines_of))[doc]
     importance /= importance.sum()
     target, inner = y[doc], lines_of - 1
     theta = np.zeros(FEATURES + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    flat = features.reshape(-1)
     share = np.zeros((2, 2))
     stay = (inner / np.sqrt(lines_of) * np.stack([1 - y, y])).sum(1) / (1 / np.sqrt(lines_of))[doc].sum()
     share[0, 0], share[1, 1] = stay
@@ -134,7 +136,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float
         field = LineField(theta[:FEATURES], theta[FEATURES:-1].reshape(2, 2), theta[-1])
         p, pair, _ = field.marginals(field.emissions(features), lines_of)
         error = (target - p) * importance
-        g = np.concatenate([np.bincount(flat, np.repeat(error, WIDTH), FEATURES), (share - pair / max(1, pair.sum()) * share.sum()).reshape(-1), [error.sum()]])
+        g = np.concatenate([sum(np.bincount(column, error, FEATURES) for column in features.T), (share - pair / max(1, pair.sum()) * share.sum()).reshape(-1), [error.sum()]])
         g -= penalty * theta / len(theta) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
