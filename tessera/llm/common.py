@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a numeric kernel handles at once; a longer document is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+#: Rows that a function over batches sees at once.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +75,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | di
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             out = f(batch)
             for cols in [out] if isinstance(out, dict) else out:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == t.type else pa.array(c, t.type) for t, c in ((t, cols[t.name]) for t in arrow)], schema=arrow)
@@ -87,9 +87,8 @@ def keep_rows(df: DataFrame, good: Callable[[pa.RecordBatch], object]) -> DataFr
     """The rows of df for which `good` says true of each batch."""
 
     def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(good(batch), pa.bool_()))
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
+            yield batch.filter(pa.array(good(batch), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -57,7 +57,7 @@ class Rolling:
     """Hashes of substrings of one array of bytes."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(1 << max(23, len(data).bit_length()))
+        up, self.down = _powers(1 << max(21, len(data).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
 

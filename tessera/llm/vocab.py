@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 400_000
 #: White space as the tokenizer libraries see it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CUT = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
