@@ -12,12 +12,11 @@ Nulls and empty texts have no tokens; rows are independent of one another, so re
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts_of
+from .common import cached, map_batches, texts_of
 from .vocab import MEMO_ENTRIES, Memo, byte_pieces, pattern, read_ranks, split_regex, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -158,7 +157,7 @@ class TextCodec:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(None)
+@cached
 def codec(path: str) -> TextCodec:
     return TextCodec(path)
 

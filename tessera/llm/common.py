@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -68,17 +71,48 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: What empties the caches of a Python worker, and the function that last filled them there.
+_caches: list[Callable[[], None]] = []
+_last: list[str] = [""]
+
+
+def cached(f):
+    """An unbounded cache that a worker drops when it turns to another function over batches."""
+    held = lru_cache(None)(f)
+    _caches.append(held.cache_clear)
+    return held
+
+
+def started(name: str) -> None:
+    if _last[0] != name:
+        _last[0] = name
+        for clear in _caches:
+            clear()
+
+
+def trimmed() -> None:
+    """Free memory of a worker goes back to the system: idle workers stay beside the executor's heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | dict], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from a batch to columns; lists of columns come out in the schema's types."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
+    name = f"{f.__module__}.{f.__qualname__}"
+
     def run(batches):
+        started(name)
         for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             out = f(batch)
             for cols in [out] if isinstance(out, dict) else out:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == t.type else pa.array(c, t.type) for t, c in ((t, cols[t.name]) for t in arrow)], schema=arrow)
+        trimmed()
 
     return df.mapInArrow(run, schema)
 
@@ -87,8 +121,10 @@ def keep_rows(df: DataFrame, good: Callable[[pa.RecordBatch], object]) -> DataFr
     """The rows of df for which `good` says true of each batch."""
 
     def run(batches):
+        started("keep_rows")
         for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             yield batch.filter(pa.array(good(batch), pa.bool_()))
+        trimmed()
 
     return df.mapInArrow(run, df.schema)
 

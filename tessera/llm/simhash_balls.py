@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, map_batches, sliced, texts_of
+from .common import Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
 from .text_kernels import mixed
 
 SHINGLE_WORDS = 4
@@ -176,14 +176,18 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, rounds: int
     for k in range(rounds):
 
         def emit(batches, k=k):
+            started("simhash_balls.emit")
             held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
             prints = np.concatenate(held).view(np.uint64) if held else np.empty(0, np.uint64)
             for at in range(0, len(prints), TASK_PRINTS):
                 found = list(_emit(prints[at : at + TASK_PRINTS], ball, k, rounds, buckets))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["bucket", "payload"])
+            trimmed()
 
         def meet(group: pa.Table) -> pa.Table:
+            started("simhash_balls.meet")
             a, b = _meet(group["payload"].to_pylist(), ball, radius)
+            trimmed()
             return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
         met = dealt.mapInArrow(emit, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")

@@ -21,7 +21,6 @@ result.
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, encoded, map_batches
+from .common import SLICE_BYTES, Scratch, cached, encoded, map_batches, started, trimmed
 from .text_kernels import mixed
 
 MATCH = 200
@@ -43,7 +42,7 @@ _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 _PLACE = np.uint64(0x7FFFFF)
 
 
-@lru_cache(1)
+@cached
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for base in (_BASE, pow(_BASE, -1, 1 << 64)):
@@ -209,6 +208,7 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     rows = map_batches(cuts, suffixes, "t0 bigint, t1 bigint, place bigint").repartitionByRange(max(1, -(-total // BUCKET)), "t0", "t1", "place")
 
     def bucket(batches):
+        started("suffix_dedup.bucket")
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -226,6 +226,8 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_pydict({"place": again[a : a + 100_000], "t0": pa.nulls(len(again[a : a + 100_000]), pa.int64()), "t1": pa.nulls(len(again[a : a + 100_000]), pa.int64()), "n": pa.nulls(len(again[a : a + 100_000]), pa.int64())})
         ends = sorted({0, len(run) - 1})
         yield pa.RecordBatch.from_pydict({"place": place[run[ends]], "t0": keys[run[ends], 0], "t1": keys[run[ends], 1], "n": n[ends]})
+        del held, t, keys, place, order
+        trimmed()
 
     found = scratch.keep(rows.mapInArrow(bucket, "place bigint, t0 bigint, t1 bigint, n bigint"), "found")
     # The first and last tokens of each bucket: two rows a bucket, of which those that stood alone may have met another bucket's.

@@ -7,11 +7,10 @@ Rows are independent, so repeated rows give repeated results.
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts_of
+from .common import cached, map_batches, texts_of
 from .vocab import MEMO_ENTRIES, LibraryWords, Memo, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,7 +38,7 @@ class WordCounter:
         return sum(self.pieces.values_of(text.split(" "))) if text else 0
 
 
-@lru_cache(None)
+@cached
 def counter(path: str) -> WordCounter:
     return WordCounter(path)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches
+from .common import Scratch, map_batches, started, trimmed
 from .vocab import library, library_ids, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -147,6 +147,7 @@ def _token_blocks(df: DataFrame, id_col: str, text_col: str, path: str, end_id:
     def run(batches):
         import pyarrow as pa
 
+        started("token_store.blocks")
         encode, shard, before = library_ids(path), TaskContext.get().partitionId(), 0
         end, docs, blobs, size = np.array([end_id], "<u4").tobytes(), [], [], 0
 
@@ -164,6 +165,7 @@ def _token_blocks(df: DataFrame, id_col: str, text_col: str, path: str, end_id:
                     before, docs, blobs, size = before + size, [], [], 0
         if docs:
             yield block()
+        trimmed()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -10,11 +10,12 @@ import base64
 import json
 import os
 import re
-from functools import lru_cache
 
 import numpy as np
 import regex
 
+from .common import cached
+
 MEMO_ENTRIES = 400_000
 #: White space as the tokenizer libraries see it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -41,7 +42,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
 
 
-@lru_cache(None)
+@cached
 def library(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -175,6 +176,6 @@ class LibraryIds:
         return self.by.merges.of_text(text)
 
 
-@lru_cache(None)
+@cached
 def library_ids(path: str) -> LibraryIds:
     return LibraryIds(path)
