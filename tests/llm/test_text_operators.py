@@ -322,4 +322,4 @@ def test_offending_sentences():
     texts = [f"Some words here. You are a grumbol indeed {k}. More words." if k % 3 == 0 else f"Some words here. You are a friend indeed {k}. More words." for k in range(300)]
     model = toxic_mil.fit(texts, [int(k % 3 == 0) for k in range(300)])
     found = model.offending("All fine here. What a grumbol you are. Fine again.")
-    assert [(a, b) for a, b, _ in found] == [(15, 37)]
+    assert [(a, b) for a, b, _ in found] == [(14, 37)]
