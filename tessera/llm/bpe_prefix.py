@@ -20,6 +20,10 @@ from .common import cached, map_batches, texts_of
 from .vocab import MEMO_ENTRIES, Memo, byte_pieces, pattern, read_ranks, split_regex, vocabulary
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: Bytes up to which a piece's table is filled on demand, by recursion, as only its last entry is asked for.
+SHORT = 64
+#: Words with their ids that a worker holds: a word costs more than most pieces.
+WORD_ENTRIES = 1_000_000
 
 
 class PrefixBpe:
@@ -38,7 +42,7 @@ class PrefixBpe:
                 self.halves[i] = two
                 self.joined[two] = i
                 self.whole.add(b)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _merge(self, data: bytes, below: int) -> tuple[int, ...]:
         """Ids after all merges of a rank under `below`, the lowest rank first and the leftmost of equals."""
@@ -52,7 +56,7 @@ class PrefixBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the joined bytes of a and b encode as a, b: undo merges, latest first, and look for one across the seam that would have come before."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is not None:
             return known
         x, y, bound, good = a, b, 1 << 62, True
@@ -68,9 +72,9 @@ class PrefixBpe:
                 bound, y = y + 1, right
             else:
                 break
-        if len(self.pairs) > 2_000_000:
+        if len(self.pairs) > MEMO_ENTRIES:
             self.pairs.clear()
-        self.pairs[a, b] = good
+        self.pairs[a << 20 | b] = good
         return good
 
     def extend(self, data: bytes, last: list[int], stop: int | None = None) -> None:
@@ -85,6 +89,22 @@ class PrefixBpe:
             else:
                 raise ValueError("these ranks lack single bytes")
 
+    def _last(self, data: bytes, end: int, last: list[int]) -> int:
+        """One more than the last token of data[:end]; fills only the entries that this one needs."""
+        get, known, whole, compatible = self.ranks.get, self.pairs.get, self.whole, self.compatible
+        for start in range(end):
+            token = get(piece := data[start:end])
+            if token is None or piece not in whole:
+                continue
+            if start:
+                before = (last[start - 1] or self._last(data, start, last)) - 1
+                good = known(before << 20 | token)
+                if not (compatible(before, token) if good is None else good):
+                    continue
+            last[end - 1] = token + 1
+            return token + 1
+        raise ValueError("these ranks lack single bytes")
+
     def unwind(self, last: list[int]) -> list[int]:
         out, at = [], len(last)
         while at:
@@ -96,7 +116,15 @@ class PrefixBpe:
         """One piece, without a split by pattern."""
         if data in self.whole:
             return [self.ranks[data]]
-        last: list[int] = []
+        if len(data) <= SHORT:
+            last = [0] * len(data)
+            self._last(data, len(data), last)
+            out, at = [], len(data)
+            while at:
+                out.append(last[at - 1] - 1)
+                at -= len(self.bytes_of[out[-1]])
+            return out[::-1]
+        last = []
         self.extend(data, last)
         return self.unwind(last)
 
@@ -139,7 +167,7 @@ class TextCodec:
     def __init__(self, path: str):
         self.bpe = PrefixBpe(read_ranks(path))
         self.split = split_regex(pattern())
-        self.words = Memo(lambda w: np.array(self.bpe.encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes(), most=MEMO_ENTRIES // 2)
+        self.words = Memo(lambda w: np.array(self.bpe.encode(w.encode("utf-8", "surrogatepass")), "<u4").tobytes(), most=WORD_ENTRIES)
         self.first, self.later = Memo(self._piece), Memo(self._piece, " ")
         self.table = [self.bpe.bytes_of.get(i, b"") for i in range(max(self.bpe.bytes_of) + 1)]
 
