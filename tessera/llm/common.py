@@ -71,13 +71,13 @@ def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-#: What empties the caches of a Python worker, and the function that last filled them there.
+#: What empties the caches of a Python worker, and the module that last filled them there.
 _caches: list[Callable[[], None]] = []
 _last: list[str] = [""]
 
 
 def cached(f):
-    """An unbounded cache that a worker drops when it turns to another function over batches."""
+    """An unbounded cache that a worker drops when it turns to another module's functions."""
     held = lru_cache(None)(f)
     _caches.append(held.cache_clear)
     return held
@@ -104,7 +104,7 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | di
 
     arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
-    name = f"{f.__module__}.{f.__qualname__}"
+    name = f.__module__
 
     def run(batches):
         started(name)
@@ -119,9 +119,10 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict] | di
 
 def keep_rows(df: DataFrame, good: Callable[[pa.RecordBatch], object]) -> DataFrame:
     """The rows of df for which `good` says true of each batch."""
+    name = good.__module__
 
     def run(batches):
-        started("keep_rows")
+        started(name)
         for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             yield batch.filter(pa.array(good(batch), pa.bool_()))
         trimmed()

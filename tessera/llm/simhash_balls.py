@@ -176,7 +176,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, rounds: int
     for k in range(rounds):
 
         def emit(batches, k=k):
-            started("simhash_balls.emit")
+            started(__name__)
             held = [b.column(0).to_numpy(zero_copy_only=False) for b in batches]
             prints = np.concatenate(held).view(np.uint64) if held else np.empty(0, np.uint64)
             for at in range(0, len(prints), TASK_PRINTS):
@@ -185,7 +185,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, rounds: int
             trimmed()
 
         def meet(group: pa.Table) -> pa.Table:
-            started("simhash_balls.meet")
+            started(__name__)
             a, b = _meet(group["payload"].to_pylist(), ball, radius)
             trimmed()
             return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})

@@ -210,7 +210,7 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     rows = map_batches(cuts, suffixes, "t0 bigint, t1 bigint, place bigint").repartitionByRange(max(1, -(-total // BUCKET)), "t0", "t1", "place")
 
     def bucket(batches):
-        started("suffix_dedup.bucket")
+        started(__name__)
         held = [b for b in batches if b.num_rows]
         if not held:
             return

@@ -147,7 +147,7 @@ def _token_blocks(df: DataFrame, id_col: str, text_col: str, path: str, end_id:
     def run(batches):
         import pyarrow as pa
 
-        started("token_store.blocks")
+        started(__name__)
         encode, shard, before = library_ids(path), TaskContext.get().partitionId(), 0
         end, docs, blobs, size = np.array([end_id], "<u4").tobytes(), [], [], 0
 
