@@ -30,8 +30,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each class stays."""
-    return simhash_balls.keep_first(docs, words=SHINGLE_WORDS)
+    """The document with the smallest doc_id of each class stays; fingerprints within 4 bits link, and so do sets of shingles of similarity 0.8 or more."""
+    return simhash_balls.keep_first(docs, words=SHINGLE_WORDS, similar_sets=True)
 
 
 def repeated_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

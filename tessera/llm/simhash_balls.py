@@ -14,6 +14,7 @@ too; null doc_ids take part, and a class of null ids alone has a null id. An emp
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shingle_links
 from .common import Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
 from .text_kernels import mixed
 
@@ -212,14 +214,15 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         return joined.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
 
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    e = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars0")
+    run = uuid.uuid4().hex[:8]
+    e = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"stars-{run}-0")
     k, before = 0, mark(e)
     while True:
         k += 1
-        e = scratch.keep(star(star(e, True), False), f"stars{k}")
+        e = scratch.keep(star(star(e, True), False), f"stars-{run}-{k}")
         now = mark(e)
         if k > 1:
-            scratch.drop(f"stars{k - 1}")
+            scratch.drop(f"stars-{run}-{k - 1}")
         if now == before:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
@@ -236,11 +239,18 @@ def prints_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
     return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
-def _named(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, radius: int) -> tuple[DataFrame, DataFrame]:
+def _named(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, radius: int, similar_sets: bool = False) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of each row; and fp, component_id of each fingerprint."""
-    prints = scratch.keep(prints_of(df, id_col, text_col, words), "prints")
+    if similar_sets:
+        sets = scratch.keep(shingle_links.sets_of(df, id_col, text_col, words), "sets")
+        prints = sets.select("doc_id", "fp")
+    else:
+        prints = scratch.keep(prints_of(df, id_col, text_col, words), "prints")
     nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = components(links(nodes, scratch, radius), scratch)
+    near = links(nodes, scratch, radius)
+    if similar_sets:
+        near = scratch.keep(shingle_links.set_links(sets, scratch, near, components), "all_links")
+    roots = components(near, scratch)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints, placed.join(of_root, "root").select("fp", "component_id")
@@ -252,9 +262,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
-    """The rows of df, all columns, of the smallest doc_id in each class; of rows that repeat it, one with the smallest text. Rows without a doc_id stay."""
-    prints, named = _named(df, Scratch(df.sparkSession, "simhash"), id_col, text_col, words, radius)
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similar_sets: bool = False) -> DataFrame:
+    """The rows of df, all columns, of the smallest doc_id in each class; of rows that repeat it, one with the smallest text. Rows without a doc_id stay.
+
+    With similar_sets, sets of shingles with a Jaccard similarity of 0.8 or more are linked too, whatever their fingerprints.
+    """
+    prints, named = _named(df, Scratch(df.sparkSession, "simhash"), id_col, text_col, words, radius, similar_sets)
     kept = prints.filter("doc_id IS NOT NULL").join(named, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     mine = df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
     if not prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
