@@ -25,6 +25,8 @@ COUNTER_BITS = 20
 BLOCKS = 64
 #: First sums of counters are taken over tasks dealt into so many groups.
 GROUPS = 64
+#: Ids of sets in pairs are broadcast up to this many (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 65, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = ~SPACE
 
@@ -130,11 +132,19 @@ def _may(a_n: str, a_pos: str, b_n: str, b_pos: str) -> str:
     return f"5 * least({a_n}, {b_n}) >= 4 * greatest({a_n}, {b_n}) AND 9 * least({a_n} - {a_pos}, {b_n} - {b_pos}) >= 4 * ({a_n} + {b_n})"
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Fingerprints a, b of the pairs x, y (uids) whose sets are similar."""
-    side = lambda k: sets.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))
+def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled."""
+    pairs = scratch.keep(pairs, f"{name}-pairs")
+    asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
+    if asked.count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    held = scratch.keep(sets.select("uid", "fp", "n", "hashes").join(asked, "uid", "left_semi"), f"{name}-sets")
+    scratch.drop(f"{name}-asked")
+    side = lambda k: held.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))
     both = pairs.join(side("y"), "y").join(side("x"), "x")
-    return both.filter("9 * size(array_intersect(set_x, set_y)) >= 4 * (n_x + n_y)").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b"))
+    found = scratch.keep(both.filter("9 * size(array_intersect(set_x, set_y)) >= 4 * (n_x + n_y)").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct(), name)
+    scratch.drop(f"{name}-pairs", f"{name}-sets")
+    return found
 
 
 def set_links(sets: DataFrame, scratch: Scratch, near: DataFrame, components) -> DataFrame:
@@ -147,11 +157,14 @@ def set_links(sets: DataFrame, scratch: Scratch, near: DataFrame, components) ->
     equal = some.join(named.select("d0", "d1", "own"), ["d0", "d1"]).filter("fp <> own").select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()
     one = some.join(named.select("uid"), "uid", "left_semi")
     rows = scratch.keep(prefixes(one, frequency_classes(one)), "prefixes")
+    scratch.drop()
+    rows = rows.repartition("h")  # one exchange for the hubs and the join; a shingle has one row a set at most
     hubs = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "uid", "pos")).alias("hub")).filter("m > 1")
     met = scratch.keep(rows.join(hubs, "h"), "met")
     scratch.drop("prefixes")
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
-    known = scratch.keep(near.unionByName(equal).unionByName(_verified(first, sets)).distinct(), "known")
+    known = scratch.keep(near.unionByName(equal).unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known")
+    scratch.drop()
     roots = components(known, scratch)
     # What a hub left apart: members of one place that are in different components by now.
     of_uid = sets.select("uid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("uid", F.coalesce("root", "fp").alias("root"))
@@ -160,4 +173,4 @@ def set_links(sets: DataFrame, scratch: Scratch, near: DataFrame, components) ->
     apart = scratch.keep(rest.join(mixed_places, "h", "left_semi"), "apart")
     scratch.drop("met")
     more = apart.alias("p").join(apart.alias("q"), "h").filter("p.root < q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).select(F.col("p.uid").alias("x"), F.col("q.uid").alias("y")).distinct()
-    return known.unionByName(_verified(more, sets))
+    return known.unionByName(_verified(more, sets, scratch, "more-links"))
