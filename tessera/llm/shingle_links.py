@@ -132,13 +132,16 @@ def _may(a_n: str, a_pos: str, b_n: str, b_pos: str) -> str:
     return f"5 * least({a_n}, {b_n}) >= 4 * greatest({a_n}, {b_n}) AND 9 * least({a_n} - {a_pos}, {b_n} - {b_pos}) >= 4 * ({a_n} + {b_n})"
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A written table of ids, to be broadcast where it is counted as small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled."""
     pairs = scratch.keep(pairs, f"{name}-pairs")
     asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
-    if asked.count() <= BROADCAST_IDS:
-        asked = F.broadcast(asked)
-    held = scratch.keep(sets.select("uid", "fp", "n", "hashes").join(asked, "uid", "left_semi"), f"{name}-sets")
+    held = scratch.keep(sets.select("uid", "fp", "n", "hashes").join(_few(asked), "uid", "left_semi"), f"{name}-sets")
     scratch.drop(f"{name}-asked")
     side = lambda k: held.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))
     both = pairs.join(side("y"), "y").join(side("x"), "x")
@@ -147,30 +150,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
     return found
 
 
-def set_links(sets: DataFrame, scratch: Scratch, near: DataFrame, components) -> DataFrame:
-    """Links a, b between fingerprints: `near` (those already known), equal sets, and sets of similarity 4/5.
+def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
+    """Links a, b between fingerprints: of equal sets, and of sets of similarity 4/5.
 
-    `sets` is the written table of sets_of; `components` makes node, root from links.
+    `sets` is the written table of sets_of; `components` makes node, root from links. The links are a written table too.
     """
-    some = sets.filter("n > 0")
+    some = sets.filter("n > 0").select("uid", "fp", "d0", "d1")
     named = scratch.keep(some.groupBy("d0", "d1").agg(F.min(F.struct("fp", "uid")).alias("own")).select("d0", "d1", F.col("own.fp").alias("own"), F.col("own.uid").alias("uid")), "named")
     equal = some.join(named.select("d0", "d1", "own"), ["d0", "d1"]).filter("fp <> own").select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()
-    one = some.join(named.select("uid"), "uid", "left_semi")
-    rows = scratch.keep(prefixes(one, frequency_classes(one)), "prefixes")
+    one = _few(named.select("uid"))
+    rows = scratch.keep(prefixes(sets, frequency_classes(sets)).join(one, "uid", "left_semi").select("h", "uid", "n", "pos"), "prefixes")
     scratch.drop()
     rows = rows.repartition("h")  # one exchange for the hubs and the join; a shingle has one row a set at most
     hubs = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "uid", "pos")).alias("hub")).filter("m > 1")
     met = scratch.keep(rows.join(hubs, "h"), "met")
     scratch.drop("prefixes")
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
-    known = scratch.keep(near.unionByName(equal).unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known")
-    scratch.drop()
+    known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known")
+    scratch.drop("named")
     roots = components(known, scratch)
     # What a hub left apart: members of one place that are in different components by now.
     of_uid = sets.select("uid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("uid", F.coalesce("root", "fp").alias("root"))
-    rest = met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos").join(of_uid, "uid")
+    rest = scratch.keep(met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos").join(of_uid, "uid"), "rest")
+    scratch.drop("met")
     mixed_places = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
     apart = scratch.keep(rest.join(mixed_places, "h", "left_semi"), "apart")
-    scratch.drop("met")
+    scratch.drop("rest")
     more = apart.alias("p").join(apart.alias("q"), "h").filter("p.root < q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).select(F.col("p.uid").alias("x"), F.col("q.uid").alias("y")).distinct()
-    return known.unionByName(_verified(more, sets, scratch, "more-links"))
+    both = known.unionByName(_verified(more, sets, scratch, "more-links"))
+    scratch.drop("apart")
+    return both

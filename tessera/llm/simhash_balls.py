@@ -243,13 +243,15 @@ def _named(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: i
     """doc_id, fp of each row; and fp, component_id of each fingerprint."""
     if similar_sets:
         sets = scratch.keep(shingle_links.sets_of(df, id_col, text_col, words), "sets")
-        prints = sets.select("doc_id", "fp")
+        prints = scratch.keep(sets.select("doc_id", "fp"), "prints")
+        similar = shingle_links.set_links(sets, scratch, components)
+        scratch.drop("sets")
     else:
         prints = scratch.keep(prints_of(df, id_col, text_col, words), "prints")
     nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     near = links(nodes, scratch, radius)
     if similar_sets:
-        near = scratch.keep(shingle_links.set_links(sets, scratch, near, components), "all_links")
+        near = near.unionByName(similar)
     roots = components(near, scratch)
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     of_root = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
