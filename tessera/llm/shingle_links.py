@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
@@ -27,6 +27,8 @@ BLOCKS = 64
 GROUPS = 64
 #: Ids of sets in pairs are broadcast up to this many (8 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Pairs are verified in so many rounds.
+ROUNDS = 4
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 65, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = ~SPACE
 
@@ -138,16 +140,19 @@ def _few(ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled."""
-    pairs = scratch.keep(pairs, f"{name}-pairs")
-    asked = scratch.keep(pairs.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
-    held = scratch.keep(sets.select("uid", "fp", "n", "hashes").join(_few(asked), "uid", "left_semi"), f"{name}-sets")
-    scratch.drop(f"{name}-asked")
-    side = lambda k: held.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))
-    both = pairs.join(side("y"), "y").join(side("x"), "x")
-    found = scratch.keep(both.filter("9 * size(array_intersect(set_x, set_y)) >= 4 * (n_x + n_y)").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).distinct(), name)
-    scratch.drop(f"{name}-pairs", f"{name}-sets")
-    return found
+    """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled, in rounds by x's hash."""
+    pairs, paths = scratch.keep(pairs, f"{name}-pairs"), []
+    for k in range(ROUNDS):
+        part = pairs.filter(F.expr(f"pmod(xxhash64(x), {ROUNDS}) = {k}"))
+        asked = scratch.keep(part.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
+        held = sets.select("uid", "fp", "n", "hashes").join(_few(asked), "uid", "left_semi")
+        side = lambda k: held.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))  # noqa: B023, E731
+        both = part.join(side("y"), "y").join(side("x"), "x")
+        paths.append(scratch.path(f"{name}{k}"))
+        both.filter("9 * size(array_intersect(set_x, set_y)) >= 4 * (n_x + n_y)").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).write.parquet(paths[-1])
+        scratch.drop(f"{name}-asked")
+    scratch.drop(f"{name}-pairs")
+    return sets.sparkSession.read.schema("a bigint, b bigint").parquet(*paths).distinct()
 
 
 def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
@@ -159,12 +164,11 @@ def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
     named = scratch.keep(some.groupBy("d0", "d1").agg(F.min(F.struct("fp", "uid")).alias("own")).select("d0", "d1", F.col("own.fp").alias("own"), F.col("own.uid").alias("uid")), "named")
     equal = some.join(named.select("d0", "d1", "own"), ["d0", "d1"]).filter("fp <> own").select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()
     one = _few(named.select("uid"))
-    rows = scratch.keep(prefixes(sets, frequency_classes(sets)).join(one, "uid", "left_semi").select("h", "uid", "n", "pos"), "prefixes")
+    rows = prefixes(sets, frequency_classes(sets)).join(one, "uid", "left_semi").select("h", "uid", "n", "pos")
+    # One exchange; a place has one small row a set at most, and the window spills what goes beyond its buffer.
+    place = Window.partitionBy("h")
+    met = scratch.keep(rows.withColumn("m", F.count(F.lit(1)).over(place)).withColumn("hub", F.min(F.struct("n", "uid", "pos")).over(place)).filter("m > 1"), "met")
     scratch.drop()
-    rows = rows.repartition("h")  # one exchange for the hubs and the join; a shingle has one row a set at most
-    hubs = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "uid", "pos")).alias("hub")).filter("m > 1")
-    met = scratch.keep(rows.join(hubs, "h"), "met")
-    scratch.drop("prefixes")
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
     known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known")
     scratch.drop("named")
