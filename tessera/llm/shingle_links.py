@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
+from .common import BATCH_ROWS, Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
 from .text_kernels import SPACE, joined, mixed, words
 
 COUNTER_BITS = 20
@@ -89,7 +89,7 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
     def count(batches):
         started(__name__)
         total, some = np.zeros(1 << COUNTER_BITS, np.int64), False
-        for batch in batches:
+        for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             h, _ = _values(batch.column(0))
             total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
             some = True

@@ -33,7 +33,7 @@ SEED = 42
 ROUNDS = 4
 #: Values that meet in a bucket, about; and fingerprints that a task emits from.
 BUCKET_VALUES = 2 << 20
-TASK_PRINTS = 4000
+TASK_PRINTS = 2000
 _SPREAD = np.array([sum(((b >> k) & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
 
 
