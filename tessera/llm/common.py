@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that a numeric kernel handles at once; a longer document is handled alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 #: Rows that a function over batches sees at once.
 BATCH_ROWS = 1000
 
@@ -28,44 +29,86 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tessera-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
-    """Tables of one operator run in the shared folder. They cut lineage and outlive lost executors."""
+    """Tables of one operator run in the shared folder. They cut lineage and outlive lost executors.
+
+    An operator drops what nothing reads any more; what its result still reads goes when the program ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Writes df and reads it again."""
-        df.write.mode("overwrite").parquet(self.path(name))
+    def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
+        """Writes df, with options of the writer, and reads it again."""
+        df.write.mode("overwrite").options(**options).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        """Deletes tables that nothing reads any more, and lets Spark delete the shuffle files that nothing refers to."""
-        jvm = self.spark.sparkContext._jvm
+        """Deletes tables that nothing reads any more."""
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        release_shuffles(self.spark)
+            _delete(self.spark, self.path(name))
+
+    def close(self) -> None:
+        """Deletes the whole folder, as far as the session still lives."""
+        atexit.unregister(self.close)
+        with contextlib.suppress(Exception):
+            _delete(self.spark, self.base)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's references to them are collected; ask for that now."""
+    """Shuffle files go when the driver's references to them are collected; ask for that now. For after the largest shuffles: it takes some tenths of a second."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     time.sleep(0.2)
 
 
+def hand_back(spark: SparkSession) -> None:
+    """Executors collect their garbage and give free heap back to the system, beside which their Python workers live.
+
+    One small task for each core, so that every executor gets some; without it a heap stays as large as its hungriest
+    step made it.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc")).alias("done"), "id").write.format("noop").mode("overwrite").save()
+
+
+def few(rows: DataFrame, most: int) -> DataFrame:
+    """A written table of narrow rows, to be broadcast where it counts `most` of them or fewer."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have, so that helper columns can't clash with its own."""
+    held = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, can't clash."""
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -132,15 +175,19 @@ def keep_rows(df: DataFrame, good: Callable[[pa.RecordBatch], object]) -> DataFr
 
 def sliced(texts: list, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about `most` bytes each; a longer text makes a range of its own."""
+    return ranges([len(t or b"") for t in texts], most)
+
+
+def ranges(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes sum up to about `most`; a larger item makes a range of its own."""
     start, size = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or b"")
+    for i, n in enumerate(sizes):
         if size and size + n > most:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def encoded(texts: list) -> list[bytes]:

@@ -5,9 +5,11 @@ of all shingles, two sets of similarity 4/5 share one among the first n - ceil(4
 those, equal ones meet, and pairs are verified on whole sets. The order puts frequent shingles last: their documents
 are counted in a fixed number of counters (2**20, whatever the input), of which the logarithm is sent to the tasks.
 
-A meeting place doesn't emit all its pairs: its members are verified against one hub, components are formed, and only
-members of different components, near enough in size and place, are verified further. No link that joins two
-components is lost. Equal sets are one node throughout. Sets without words take no part.
+A meeting place doesn't emit all its pairs. Its members are verified against one hub, and components are formed. Where
+members of one place are still in different components, some of them, chosen by a hash and more in each round, are
+hubs for the others; only pairs that are near enough in size and place, and in different components, are verified. In
+the last round all members left apart are hubs, so no link that joins two components is lost. Equal sets are one node
+throughout. Sets without words take no part.
 """
 
 from __future__ import annotations
@@ -15,20 +17,25 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
+from .common import BATCH_ROWS, Scratch, encoded, few, map_batches, ranges, release_shuffles, sliced, started, texts_of, trimmed
 from .text_kernels import SPACE, joined, mixed, words
 
 COUNTER_BITS = 20
 BLOCKS = 64
 #: First sums of counters are taken over tasks dealt into so many groups.
 GROUPS = 64
-#: Ids of sets in pairs are broadcast up to this many (8 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-#: Pairs are verified in so many rounds.
-ROUNDS = 4
+#: Ids of sets are broadcast up to this many (some 24 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Pairs are verified in so many rounds, or in one if they are no more than these.
+ROUNDS = 2
+ROUND_PAIRS = 50_000
+#: Hashes of sets that a kernel handles at once.
+SLICE_HASHES = 1 << 18
+#: Hubs of a place in the first round for members left apart; each round has so many times the hubs of the one before.
+MORE_HUBS = 16
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 65, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = ~SPACE
 
@@ -58,10 +65,11 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def sets_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, fp, n, d0, d1 (128 bits that name the set), hashes."""
-    from .simhash_balls import fingerprints
+    """doc_id, key0, key1 (of the text), fp, n, d0, d1 (128 bits that name the set), hashes, uid (of the row, once written)."""
+    from .simhash_balls import fingerprints, text_keys
 
     src = texts_of(df, id_col, text_col)
+    src = src.select("doc_id", "text", *(k.alias(f"key{i}") for i, k in enumerate(text_keys(F.col("text")))))
 
     def run(batch):
         texts = encoded(batch.column(1).to_pylist())
@@ -72,9 +80,9 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             for salt in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h * _FACTORS[salt] + np.uint64(salt)))])
                 names.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
-            yield {"doc_id": batch.column(0).slice(a, b - a), "fp": pa.array(fingerprints(texts[a:b], size).view(np.int64)), "n": pa.array(n, pa.int32()), "d0": names[0], "d1": names[1], "hashes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))}
+            yield {"doc_id": batch.column(0).slice(a, b - a), "key0": batch.column(2).slice(a, b - a), "key1": batch.column(3).slice(a, b - a), "fp": pa.array(fingerprints(texts[a:b], size).view(np.int64)), "n": pa.array(n, pa.int32()), "d0": names[0], "d1": names[1], "hashes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))}
 
-    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint, n int, d0 bigint, d1 bigint, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id())
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key0 bigint, key1 bigint, fp bigint, n int, d0 bigint, d1 bigint, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id())
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +99,8 @@ def frequency_classes(sets: DataFrame) -> np.ndarray:
         total, some = np.zeros(1 << COUNTER_BITS, np.int64), False
         for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
             h, _ = _values(batch.column(0))
-            total += np.bincount((h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+            for a in range(0, len(h), SLICE_HASHES):
+                np.add.at(total, (h[a : a + SLICE_HASHES] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
             some = True
         if some:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(BLOCKS, block)], pa.binary())], names=["part", "block", "counts"])
@@ -117,14 +126,16 @@ def prefixes(sets: DataFrame, classes: np.ndarray) -> DataFrame:
     packed = classes.tobytes()
 
     def run(batch):
-        rank, (h, n) = np.frombuffer(packed, np.uint8), _values(batch.column(2))
-        owner = np.repeat(np.arange(len(n)), n)
-        order = np.lexsort((h, rank[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], owner))
-        pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-        kept = np.flatnonzero(pos < np.repeat(n - (4 * n + 4) // 5 + 1, n))
-        who = owner[kept]
-        uid = batch.column(0).to_numpy(zero_copy_only=False)
-        return {"h": pa.array(h[order[kept]].view(np.int64)), "uid": pa.array(uid[who]), "n": pa.array(n[who].astype(np.int32)), "pos": pa.array(pos[kept].astype(np.int32))}
+        rank = np.frombuffer(packed, np.uint8)
+        for a, b in ranges(np.diff(batch.column(2).offsets.to_numpy()).tolist(), SLICE_HASHES):
+            h, n = _values(batch.column(2).slice(a, b - a))
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, rank[(h >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)], owner))
+            pos = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            kept = np.flatnonzero(pos < np.repeat(n - (4 * n + 4) // 5 + 1, n))
+            who = owner[kept]
+            uid = batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False)
+            yield {"h": pa.array(h[order[kept]].view(np.int64)), "uid": pa.array(uid[who]), "n": pa.array(n[who].astype(np.int32)), "pos": pa.array(pos[kept].astype(np.int32))}
 
     return map_batches(sets.select("uid", "n", "hashes"), run, "h bigint, uid bigint, n int, pos int")
 
@@ -134,53 +145,72 @@ def _may(a_n: str, a_pos: str, b_n: str, b_pos: str) -> str:
     return f"5 * least({a_n}, {b_n}) >= 4 * greatest({a_n}, {b_n}) AND 9 * least({a_n} - {a_pos}, {b_n} - {b_pos}) >= 4 * ({a_n} + {b_n})"
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A written table of ids, to be broadcast where it is counted as small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled, in rounds by x's hash."""
     pairs, paths = scratch.keep(pairs, f"{name}-pairs"), []
-    for k in range(ROUNDS):
-        part = pairs.filter(F.expr(f"pmod(xxhash64(x), {ROUNDS}) = {k}"))
+    if pairs.isEmpty():
+        return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rounds = ROUNDS if pairs.count() > ROUND_PAIRS else 1
+    for k in range(rounds):
+        part = pairs.filter(F.expr(f"pmod(xxhash64(x), {rounds}) = {k}"))
         asked = scratch.keep(part.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
-        held = sets.select("uid", "fp", "n", "hashes").join(_few(asked), "uid", "left_semi")
+        held = sets.select("uid", "fp", "n", "hashes").join(few(asked, BROADCAST_IDS), "uid", "left_semi")
         side = lambda k: held.select(F.col("uid").alias(k), F.col("fp").alias(f"fp_{k}"), F.col("n").alias(f"n_{k}"), F.col("hashes").alias(f"set_{k}"))  # noqa: B023, E731
         both = part.join(side("y"), "y").join(side("x"), "x")
         paths.append(scratch.path(f"{name}{k}"))
         both.filter("9 * size(array_intersect(set_x, set_y)) >= 4 * (n_x + n_y)").select(F.col("fp_x").alias("a"), F.col("fp_y").alias("b")).write.parquet(paths[-1])
         scratch.drop(f"{name}-asked")
+        release_shuffles(sets.sparkSession)
     scratch.drop(f"{name}-pairs")
     return sets.sparkSession.read.schema("a bigint, b bigint").parquet(*paths).distinct()
 
 
+def _meetings(sets: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """A table h, uid, n, pos, m, hub (uid, n, pos): the places that two sets or more share, with their members, how many, and the smallest one."""
+    ids, classes = own.select("uid"), frequency_classes(sets)
+    if own.count() <= BROADCAST_IDS:  # sets that repeat another needn't be sent to Python at all
+        rows = prefixes(sets.join(F.broadcast(ids), "uid", "left_semi"), classes)
+    else:
+        rows = prefixes(sets, classes).join(ids, "uid", "left_semi")
+    rows = scratch.keep(rows.select("h", "uid", "n", "pos"), "prefix")
+    # Written, so that the join shuffles both its sides itself and Spark can split a frequent shingle.
+    places = scratch.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "uid", "pos")).alias("hub")).filter("m > 1"), "places")
+    met = scratch.keep(rows.join(places, "h"), "met")
+    scratch.drop("prefix", "places")
+    release_shuffles(sets.sparkSession)
+    return met
+
+
 def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
     """Links a, b between fingerprints: of equal sets, and of sets of similarity 4/5.
 
     `sets` is the written table of sets_of; `components` makes node, root from links. The links are a written table too.
     """
-    some = sets.filter("n > 0").select("uid", "fp", "d0", "d1")
-    named = scratch.keep(some.groupBy("d0", "d1").agg(F.min(F.struct("fp", "uid")).alias("own")).select("d0", "d1", F.col("own.fp").alias("own"), F.col("own.uid").alias("uid")), "named")
-    equal = some.join(named.select("d0", "d1", "own"), ["d0", "d1"]).filter("fp <> own").select(F.col("fp").alias("a"), F.col("own").alias("b")).distinct()
-    one = _few(named.select("uid"))
-    rows = prefixes(sets, frequency_classes(sets)).join(one, "uid", "left_semi").select("h", "uid", "n", "pos")
-    # One exchange; a place has one small row a set at most, and the window spills what goes beyond its buffer.
-    place = Window.partitionBy("h")
-    met = scratch.keep(rows.withColumn("m", F.count(F.lit(1)).over(place)).withColumn("hub", F.min(F.struct("n", "uid", "pos")).over(place)).filter("m > 1"), "met")
-    scratch.drop()
+    some = scratch.keep(sets.filter("n > 0").groupBy("d0", "d1", "fp").agg(F.min("uid").alias("uid")), "some")
+    own = scratch.keep(some.groupBy("d0", "d1").agg(F.min(F.struct("fp", "uid")).alias("own")).select("d0", "d1", F.col("own.fp").alias("own_fp"), F.col("own.uid").alias("uid")), "own")
+    equal = some.join(own.select("d0", "d1", "own_fp"), ["d0", "d1"]).filter("fp <> own_fp").select(F.col("fp").alias("a"), F.col("own_fp").alias("b")).distinct()
+    met = _meetings(sets, own, scratch)
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
-    known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known")
-    scratch.drop("named")
-    roots = components(known, scratch)
-    # What a hub left apart: members of one place that are in different components by now.
-    of_uid = sets.select("uid", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("uid", F.coalesce("root", "fp").alias("root"))
-    rest = scratch.keep(met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos").join(of_uid, "uid"), "rest")
-    scratch.drop("met")
-    mixed_places = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-    apart = scratch.keep(rest.join(mixed_places, "h", "left_semi"), "apart")
-    scratch.drop("rest")
-    more = apart.alias("p").join(apart.alias("q"), "h").filter("p.root < q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).select(F.col("p.uid").alias("x"), F.col("q.uid").alias("y")).distinct()
-    both = known.unionByName(_verified(more, sets, scratch, "more-links"))
-    scratch.drop("apart")
-    return both
+    known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known-0")
+    rest, share, k = met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos"), MORE_HUBS, 0
+    fps = sets.select("uid", "fp")
+    while True:
+        # Members of one place that are in different components by now; pairs that were hub and member are settled.
+        roots = components(known, scratch)
+        of_uid = fps.join(roots, F.col("fp") == F.col("node"), "left").select("uid", F.coalesce("root", "fp").alias("root"))
+        placed = scratch.keep(rest.join(of_uid, "uid"), f"placed-{k}")
+        apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("h", "m")
+        left = scratch.keep(placed.join(apart.hint("rebalance"), "h"), f"left-{k}")
+        scratch.drop(f"placed-{k}", "met", f"left-{k - 1}")
+        if (most := left.agg(F.max("m")).first()[0]) is None:
+            break
+        hubs = left.filter(F.expr(f"pmod(xxhash64(uid, h), greatest(1, m div {share})) = 0"))
+        near = hubs.alias("p").join(left.alias("q"), "h").filter("p.root <> q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos"))
+        pairs = near.select(F.least("p.uid", "q.uid").alias("x"), F.greatest("p.uid", "q.uid").alias("y")).distinct()
+        k += 1
+        known = scratch.keep(known.unionByName(_verified(pairs, sets, scratch, f"links-{k}-")).distinct(), f"known-{k}")
+        if most // share <= 1:  # all were hubs
+            break
+        rest, share = left.select("h", "uid", "n", "pos"), share * MORE_HUBS
+    scratch.drop("some", "own", f"left-{k}", f"left-{k - 1}")
+    return known

@@ -3,13 +3,17 @@
 Two fingerprints differ in at most 2h bits just if some third value is within h bits of both. So each distinct
 fingerprint emits all values within h bits of itself; values meet in buckets, where equal ones are deduplicated and
 the fingerprints behind them verified. Fingerprints that share a value are all linked to one another, so that a chain
-through them loses no class; each bucket sends on a forest of its links alone. Classes come from alternating large-star
-and small-star steps over tables.
+through them loses no class; each bucket sends on a forest of its links alone. Classes come from the forests of tasks
+with a bounded number of links each, which alternating large-star and small-star steps over tables join.
 
-Emission is dealt in rounds by the value's hash, so that the shuffle on disk at one time is a part of the whole.
+Emission is dealt in rounds by the value's hash, so that the shuffle on disk at one time is a part of the whole; a
+small one needs a single round.
 
 A null or empty text has no words: its fingerprint is 0 and links like any other. Rows are documents, repeated rows
-too; null doc_ids take part, and a class of null ids alone has a null id. An empty table gives an empty result.
+too; null doc_ids take part, and a class of null ids alone has a null id. `keep_first` keeps one row of each class, told
+apart by its doc_id and its text together: the smallest doc_id (null comes last), of equal ones the text with the
+smallest hash, of rows that repeat both any one. An empty table gives an empty result. Names of other columns don't
+matter.
 """
 
 from __future__ import annotations
@@ -20,20 +24,26 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import shingle_links
-from .common import Scratch, encoded, map_batches, sliced, started, texts_of, trimmed
+from .common import Scratch, encoded, few, map_batches, release_shuffles, sliced, started, texts_of, trimmed, unused
 from .text_kernels import mixed
 
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
+#: Rounds of emission at most, and the values of a round up to which one more isn't worth it.
 ROUNDS = 4
+ROUND_VALUES = 32 << 20
+#: Links that a task joins to a forest.
+TASK_LINKS = 250_000
 #: Values that meet in a bucket, about; and fingerprints that a task emits from.
-BUCKET_VALUES = 2 << 20
-TASK_PRINTS = 2000
+BUCKET_VALUES = 1 << 20
+TASK_PRINTS = 1000
+#: Rows that stand for classes are broadcast up to this many (some 100 bytes each); more are joined by a shuffle.
+KEPT_ROWS = 200_000
 _SPREAD = np.array([sum(((b >> k) & 1) << 8 * k for k in range(8)) for b in range(256)], np.uint64)
 
 
@@ -164,13 +174,12 @@ def _meet(payloads: list[bytes], ball: np.ndarray, radius: int) -> tuple[np.ndar
     return prints[tied], prints[root[tied]]
 
 
-def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
+def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """From distinct fingerprints (column fp, bigint): links a, b whose components are those of all pairs within radius bits."""
     if radius % 2:
         raise ValueError("the radius must be even")
-    if rounds & (rounds - 1):
-        raise ValueError("rounds must be a power of two")
     ball, n = masks(radius // 2), nodes.count()
+    rounds = min(ROUNDS, 1 << (max(1, -(-n * len(ball) // ROUND_VALUES)) - 1).bit_length())  # a power of two
     spark = nodes.sparkSession
     buckets = max(1, -(-n * len(ball) // (BUCKET_VALUES * rounds)))
     dealt = nodes.select("fp").repartition(max(1, -(-n // TASK_PRINTS)))
@@ -195,84 +204,133 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS, rounds: int
         met = dealt.mapInArrow(emit, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a bigint, b bigint")
         met.write.parquet(scratch.path(f"links{k}"))
         paths.append(scratch.path(f"links{k}"))
-        scratch.drop()
+        release_shuffles(spark)
     return spark.read.schema("a bigint, b bigint").parquet(*paths).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, root (least node of the component), for the nodes of the edges a, b. Alternates large and small stars until nothing changes."""
+def _forests(edges: DataFrame, tasks: int) -> DataFrame:
+    """The links of each of so many tasks as a forest: every node but the least of its component there, with that one."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        high, low = F.greatest("a", "b"), F.least("a", "b")
-        both = e.select(high.alias("u"), low.alias("v"))
-        if large:
-            both = both.unionByName(e.select(low.alias("u"), high.alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        joined = both.join(least, "u")
-        if large:
-            return joined.filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        return joined.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+    def run(batches):
+        started(__name__)
+        held = [b for b in batches if b.num_rows]
+        if held:
+            a, b = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in (0, 1))
+            nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+            root = _forest(at[: len(a)], at[len(a) :], len(nodes))
+            tied = np.flatnonzero(root != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_pydict({"a": nodes[tied], "b": nodes[root[tied]]})
+        trimmed()
 
+    return edges.select("a", "b").repartition(tasks).mapInArrow(run, "a bigint, b bigint")
+
+
+def _star(e: DataFrame, large: bool) -> DataFrame:
+    """A large-star or small-star step: neighbours of a node go to the least among them and itself."""
+    high, low = F.greatest("a", "b"), F.least("a", "b")
+    both = e.select(high.alias("u"), low.alias("v"))
+    if large:
+        both = both.unionByName(e.select(low.alias("u"), high.alias("v")))
+    # Dealt anew, so that the join shuffles both its sides itself and Spark can split a hub's rows.
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).hint("rebalance")
+    joined = both.join(least, "u")
+    if large:
+        return joined.filter("v > u AND v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+    return joined.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.filter("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch, task_links: int = TASK_LINKS) -> DataFrame:
+    """node, root (least node of the component), for the nodes of the edges a, b.
+
+    Tasks of at most task_links links make forests of their own; one task's is the result. Else alternating large and
+    small stars join the forests until nothing changes.
+    """
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     run = uuid.uuid4().hex[:8]
-    e = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"stars-{run}-0")
-    k, before = 0, mark(e)
-    while True:
+    e = scratch.keep(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"stars-{run}-links")
+    tasks = max(1, -(-e.count() // task_links))
+    e = scratch.keep(_forests(e, tasks), f"stars-{run}-0")
+    scratch.drop(f"stars-{run}-links")
+    k, before = 0, mark(e) if tasks > 1 else None
+    while tasks > 1:
         k += 1
-        e = scratch.keep(star(star(e, True), False), f"stars-{run}-{k}")
+        e = scratch.keep(_star(_star(e, True), False), f"stars-{run}-{k}")
         now = mark(e)
-        if k > 1:
-            scratch.drop(f"stars-{run}-{k - 1}")
+        scratch.drop(f"stars-{run}-{k - 1}")
         if now == before:
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
         before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def text_keys(text: Column) -> list[Column]:
+    """128 bits that stand for a text; null is empty."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit("near"), text)]
 
 
 def prints_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, fp (bigint)."""
+    """doc_id, key0, key1 (of the text), fp (bigint)."""
     src = texts_of(df, id_col, text_col)
+    src = src.select("doc_id", "text", *(k.alias(f"key{i}") for i, k in enumerate(text_keys(F.col("text")))))
 
     def run(batch):
         texts = encoded(batch.column(1).to_pylist())
-        return {"doc_id": batch.column(0), "fp": pa.array(np.concatenate([fingerprints(texts[a:b], words) for a, b in sliced(texts)]).view(np.int64))}
+        found = [np.empty(0, np.uint64), *(fingerprints(texts[a:b], words) for a, b in sliced(texts))]
+        return {"doc_id": batch.column(0), "key0": batch.column(2), "key1": batch.column(3), "fp": pa.array(np.concatenate(found).view(np.int64))}
 
-    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key0 bigint, key1 bigint, fp bigint")
 
 
-def _named(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, radius: int, similar_sets: bool = False) -> tuple[DataFrame, DataFrame]:
-    """doc_id, fp of each row; and fp, component_id of each fingerprint."""
+def _classes(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, radius: int, similar_sets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Two written tables: doc_id, key0, key1, fp of each row; and fp, first (the row that stands for the class) of each fingerprint."""
     if similar_sets:
         sets = scratch.keep(shingle_links.sets_of(df, id_col, text_col, words), "sets")
-        prints = scratch.keep(sets.select("doc_id", "fp"), "prints")
+        prints = scratch.keep(sets.select("doc_id", "key0", "key1", "fp"), "prints")
         similar = shingle_links.set_links(sets, scratch, components)
         scratch.drop("sets")
     else:
         prints = scratch.keep(prints_of(df, id_col, text_col, words), "prints")
-    nodes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key0", "key1")
+    nodes = scratch.keep(prints.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
     near = links(nodes, scratch, radius)
     if similar_sets:
         near = near.unionByName(similar)
     roots = components(near, scratch)
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    of_root = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints, placed.join(of_root, "root").select("fp", "component_id")
+    placed = scratch.keep(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    of_root = placed.groupBy("root").agg(F.min("first").alias("first"))
+    named = scratch.keep(placed.select("fp", "root").join(of_root, "root").select("fp", "first"), "named")
+    scratch.drop("nodes", "placed", *(f"links{k}" for k in range(ROUNDS)))
+    return prints, named
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    prints, named = _named(df, Scratch(df.sparkSession, "simhash"), id_col, text_col, words, radius)
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    prints, named = _classes(df, Scratch(df.sparkSession, "simhash"), id_col, text_col, words, radius)
+    # Both sides are tables: Spark splits a frequent fingerprint's rows in the join.
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, radius: int = RADIUS, similar_sets: bool = False) -> DataFrame:
-    """The rows of df, all columns, of the smallest doc_id in each class; of rows that repeat it, one with the smallest text. Rows without a doc_id stay.
+    """One row of df, all columns, of each class: see the module's rule.
 
     With similar_sets, sets of shingles with a Jaccard similarity of 0.8 or more are linked too, whatever their fingerprints.
     """
-    prints, named = _named(df, Scratch(df.sparkSession, "simhash"), id_col, text_col, words, radius, similar_sets)
-    kept = prints.filter("doc_id IS NOT NULL").join(named, "fp").filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    mine = df.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
-    if not prints.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").isEmpty():
-        order = Window.partitionBy(id_col).orderBy(text_col)
-        mine = mine.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
-    return mine.unionByName(df.filter(F.col(id_col).isNull()))
+    scratch = Scratch(df.sparkSession, "simhash")
+    prints, named = _classes(df, scratch, id_col, text_col, words, radius, similar_sets)
+    row = ["doc_id", "key0", "key1"]
+    rows = prints.groupBy(*row).agg(F.count(F.lit(1)).alias("n"))
+    first = named.select("first").distinct().select(*(F.col(f"first.{c}").alias(c) for c in row))
+    same = F.expr("a.doc_id <=> b.doc_id AND a.key0 = b.key0 AND a.key1 = b.key1")
+    kept = scratch.keep(first.alias("a").join(rows.alias("b"), same).select("a.*", "b.n"), "kept")
+    scratch.drop("prints", "named")
+    own, k0, k1, n = unused(df, "own_id", "key_0", "key_1", "times")
+    keys = text_keys(F.col(text_col))
+    keyed = df.withColumns({own: F.col(id_col), k0: keys[0], k1: keys[1]})
+    once_each = few(kept.select(F.col("doc_id").alias("b_id"), F.col("key0").alias("b_0"), F.col("key1").alias("b_1"), F.col("n").alias("b_n")), KEPT_ROWS)
+    met = keyed.select(F.struct(*df.columns).alias("row"), *(F.col(c).alias(f"a_{i}") for i, c in enumerate((own, k0, k1)))).join(once_each, F.expr("a_0 <=> b_id AND a_1 = b_0 AND a_2 = b_1"))
+    if kept.filter("n > 1").isEmpty():
+        return met.select("row.*")
+    # Rows that repeat both doc_id and text: any one of them, summed up where they are.
+    once = met.filter("b_n > 1").groupBy("b_id", "b_0", "b_1").agg(F.first("row").alias("row"))
+    return met.filter("b_n = 1").select("row.*").unionByName(once.select("row.*"))

@@ -3,7 +3,8 @@ import random
 import numpy as np
 import pytest
 
-from tessera.llm import simhash_balls
+from tessera.llm import shingle_links, simhash_balls
+from tessera.llm.common import Scratch
 
 WORDS = 5
 
@@ -80,4 +81,49 @@ def test_nothing(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert simhash_balls.keep_first(empty, words=WORDS, similar_sets=True).count() == 0
     nulls = spark.createDataFrame([(None, None), (None, "a b c d e f"), (3, None)], "doc_id bigint, text string")
-    assert simhash_balls.keep_first(nulls, words=WORDS, similar_sets=True).count() == 3
+    assert sorted(map(tuple, simhash_balls.keep_first(nulls, words=WORDS, similar_sets=True).collect()), key=str) == [(3, None), (None, "a b c d e f")]
+
+
+ALPHA, BETA = "zz alpha " + " ".join(f"a{k}" for k in range(30)), "beta " + " ".join(f"b{k}" for k in range(30))
+
+
+@pytest.mark.parametrize("similar", [False, True])
+def test_repeated_and_missing_ids(spark, similar):
+    """One row of each class stays, whichever ids its rows share with others."""
+    rows = [(1, ALPHA, "x"), (1, BETA, "y"), (0, BETA, "y"), (0, BETA, "y"), (None, ALPHA, "z"), (None, "gamma", "z"), (None, "gamma", "z"), (7, ALPHA + "  ", "w")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, key_0 string").withColumnRenamed("key_0", "own_id")
+    got = simhash_balls.keep_first(df, words=WORDS, similar_sets=similar)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, ALPHA, "x"), (0, BETA, "y"), (None, "gamma", "z")], key=str)
+
+
+def test_components_over_tasks(spark):
+    """Chains, stars and cycles over several tasks against union-find."""
+    rng = random.Random(3)
+    edges = [(k, k + 1) for k in range(60)] + [(1000, 1000 + k) for k in range(50)] + [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(150)]
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.root for r in simhash_balls.components(df, Scratch(spark, "test"), task_links=20).collect()}
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    assert got == {x: find(x) for x in root if find(x) != x}
+
+
+def test_hubs_in_rounds(spark, monkeypatch):
+    """More members of one place than a round has hubs: no link between those left apart is lost."""
+    monkeypatch.setattr(shingle_links, "MORE_HUBS", 2)
+    rng, texts = random.Random(5), []
+    for k in range(24):
+        own = [f"s{k}x{j}" for j in range(rng.choice([20, 24, 28]))]
+        texts += [" ".join(["p0 p1 p2 p3 p4 p5", *own]), " ".join(["p0 p1 p2 p3 p4 p5", *own[:-1], "end"])]
+    rows = list(enumerate(texts))
+    want, _ = brute_kept(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in simhash_balls.keep_first(df, words=WORDS, similar_sets=True).collect()} == want
