@@ -7,15 +7,17 @@ Most suffixes never reach the sort. Each start belongs to an anchor: the leftmos
 ANCHOR-byte strings inside its MATCH bytes, which equal starts share. Runs of starts with one anchor are blocks.
   * A block whose anchor string is found nowhere else has no repeated start.
   * A block that is found again whole has repeated starts only.
-  * The rest is sorted: one block of each content, start by start. The suffixes' leading tokens (hashes of the first
-    and the second half of the MATCH bytes) and places are range-partitioned by sampled splitters, each bucket is
-    sorted by multikey quicksort and compared with its neighbours in order, and the first and last tokens of each
+  * The rest is sorted: one block of each content, start by start. The suffixes' leading tokens (the first 8 bytes,
+    then a hash of those that follow up to MATCH) and places are range-partitioned by sampled splitters, each bucket
+    is sorted by multikey quicksort and compared with its neighbours in order, and the first and last tokens of each
     bucket are compared with those of other buckets. Ties are broken by place, so that one frequent string can fill
-    many buckets.
+    many buckets. Where tokens are equal, the bytes are compared: each found start has a partner of equal tokens,
+    starts in a row with partners in a row are one comparison, and starts whose partner differs (two strings with one
+    hash) are grouped by their bytes.
 
 Strings never cross documents. A null text is empty; texts under MATCH bytes lose nothing. Rows that repeat, with
 doc_id or without, are documents of their own, so their texts repeat one another. An empty table gives an empty
-result.
+result. Names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, Scratch, cached, encoded, map_batches, started, trimmed
+from .common import SLICE_BYTES, Scratch, cached, encoded, map_batches, ranges, release_shuffles, started, trimmed, unused
 from .text_kernels import mixed
 
 MATCH = 200
 ANCHOR = 75
 #: Suffixes in a bucket, about.
-BUCKET = 1_000_000
+BUCKET = 500_000
+#: Starts in a block at most: they are held as bits of two words.
+STARTS = 126
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(3).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Places in a slice take 23 bits, the hash above them 41.
@@ -56,7 +60,7 @@ class Rolling:
     """Hashes of substrings of one array of bytes."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers(1 << max(21, len(data).bit_length()))
+        up, self.down = _powers(1 << max(20, len(data).bit_length()))
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
 
@@ -145,6 +149,8 @@ _KEY = "d.doc_id <=> s.doc_id AND d.text_key = s.text_key"
 
 def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, text_key, spans: for each document with any, an array of start * 1024 + length of covering byte ranges, which may overlap."""
+    if match - anchor >= STARTS:
+        raise ValueError(f"a block holds {STARTS} starts at most")
     docs = _keyed(df, id_col, text_col)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -168,6 +174,7 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     covering = (F.shiftright("place", 8) * 1024 + F.col("place").bitwiseAND(F.lit(255)) + match).alias("span")
     scratch.keep(whole.select("doc_id", "text_key", covering), "whole")
     scratch.drop("shared", "twice", "counted")
+    release_shuffles(scratch.spark)
 
     # The bytes of one block of each content, from its document.
     wanted = contents.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("block", "place", (F.col("n") == 1).alias("open"))).alias("wanted"))
@@ -189,25 +196,43 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                 out, size = {"block": [], "data": [], "open": []}, 0
         yield out
 
-    cuts = scratch.keep(map_batches(met, cut, "block bigint, data binary, open boolean"), "cuts")  # rows that repeat give a block twice; it is open for none of them then
+    cuts = scratch.keep(map_batches(met, cut, "block bigint, data binary, open boolean"), "cuts")
+    if cuts.count() > contents.count():  # rows that repeat doc_id and text give a block more than once
+        cuts = scratch.keep(cuts.groupBy("block").agg(F.first("data").alias("data"), F.first("open").alias("open")), "cuts-once")
+    starts = _repeated_starts(cuts, scratch, match)
+    opened = starts.join(contents.select("block", "doc_id", "text_key", F.shiftright("place", 8).alias("first")), "block").select("doc_id", "text_key", ((F.col("first") + F.col("start")) * 1024 + F.col("size")).alias("span"))
+    spans = scratch.spark.read.parquet(scratch.path("whole")).unionByName(opened)
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+
+
+def leading_token(raw: bytes, at: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on, as integers in the order of the bytes."""
+    words = np.ndarray((len(raw) - 7,), ">u8", raw, strides=(1,))
+    return (words[at].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _repeated_starts(cuts: DataFrame, scratch: Scratch, match: int) -> DataFrame:
+    """From blocks (block, data, open): block, start and size of covering byte ranges of the open blocks' repeated starts."""
+    if match <= 8:
+        raise ValueError("strings of over 8 bytes are compared")
     total = cuts.agg(F.sum(F.length("data") - match + 1)).first()[0] or 0
 
     def suffixes(batch):
         data = batch.column(1).to_pylist()
         block, open_ = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
-        for a in range(0, len(data), 4000):
-            part = data[a : a + 4000]
-            size = np.array([len(x) for x in part], np.int64)
-            rolling = Rolling(np.frombuffer(b"".join(part), np.uint8))
+        for a, b in ranges([len(x) for x in data], SLICE_BYTES):
+            raw = b"".join(data[a:b])
+            size = np.array([len(x) for x in data[a:b]], np.int64)
+            rolling = Rolling(np.frombuffer(raw, np.uint8))
             n = size - match + 1
-            owner = np.repeat(np.arange(len(part)), n)
+            owner = np.repeat(np.arange(len(size)), n)
             inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             at = inside + (np.cumsum(size) - size)[owner]
             place = block[a + owner] << 8 | inside
-            half = match // 2
-            yield {"t0": rolling.at(at, half).view(np.int64), "t1": rolling.at(at + half, match - half).view(np.int64), "place": np.where(open_[a + owner], place, -1 - place)}
+            yield {"t0": leading_token(raw, at), "t1": rolling.at(at + 8, match - 8).view(np.int64), "place": np.where(open_[a + owner], place, -1 - place)}
 
     rows = map_batches(cuts, suffixes, "t0 bigint, t1 bigint, place bigint").repartitionByRange(max(1, -(-total // BUCKET)), "t0", "t1", "place")
+    kinds = {"place": pa.int64(), "partner": pa.int64(), "t0": pa.int64(), "t1": pa.int64(), "n": pa.int64()}
 
     def bucket(batches):
         started(__name__)
@@ -218,28 +243,62 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         # Signed order as the splitters have it.
         keys = np.stack([t["t0"].to_numpy(), t["t1"].to_numpy()], 1)
         place = t["place"].to_numpy()
+        del held, t
         order = multikey_quicksort(keys)
         keys, place = keys[order], place[order]
         run = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]))
         n = np.diff(np.append(run, len(keys)))
-        again = place[np.repeat(n > 1, n)]
-        again = again[again >= 0]
-        for a in range(0, len(again), 100_000):
-            yield pa.RecordBatch.from_pydict({"place": again[a : a + 100_000], "t0": pa.nulls(len(again[a : a + 100_000]), pa.int64()), "t1": pa.nulls(len(again[a : a + 100_000]), pa.int64()), "n": pa.nulls(len(again[a : a + 100_000]), pa.int64())})
+        at = np.where(place < 0, -1 - place, place)
+        least, most = np.minimum.reduceat(at, run), np.maximum.reduceat(at, run)
+        found = np.flatnonzero(np.repeat(n > 1, n) & (place >= 0))
+        of = np.repeat(np.arange(len(run)), n)[found]
+        partner = np.where(at[found] == least[of], most[of], least[of])
+        for a in range(0, len(found), 100_000):
+            some = found[a : a + 100_000]
+            yield pa.RecordBatch.from_pydict({"place": place[some], "partner": partner[a : a + 100_000]} | {k: pa.nulls(len(some), pa.int64()) for k in ("t0", "t1", "n")}, schema=pa.schema(kinds))
         ends = sorted({0, len(run) - 1})
-        yield pa.RecordBatch.from_pydict({"place": place[run[ends]], "t0": keys[run[ends], 0], "t1": keys[run[ends], 1], "n": n[ends]})
-        del held, t, keys, place, order
+        alone = np.where(n[ends] == 1, place[run[ends]], least[ends])
+        yield pa.RecordBatch.from_pydict({"place": alone, "partner": most[ends], "t0": keys[run[ends], 0], "t1": keys[run[ends], 1], "n": n[ends]}, schema=pa.schema(kinds))
+        del keys, place, order, at, found, partner
         trimmed()
 
-    found = scratch.keep(rows.mapInArrow(bucket, "place bigint, t0 bigint, t1 bigint, n bigint"), "found")
+    found = scratch.keep(rows.mapInArrow(bucket, "place bigint, partner bigint, t0 bigint, t1 bigint, n bigint"), "found")
+    release_shuffles(scratch.spark)
     # The first and last tokens of each bucket: two rows a bucket, of which those that stood alone may have met another bucket's.
-    edges = found.filter("n IS NOT NULL")
-    across = edges.groupBy("t0", "t1").agg(F.sum("n").alias("all"), F.collect_list(F.when(F.col("n") == 1, F.col("place"))).alias("places")).filter("all > 1").select(F.explode("places").alias("place")).filter("place >= 0")
-    again = found.filter("n IS NULL").select("place").unionByName(across)
-    starts = again.groupBy(F.shiftright("place", 8).alias("block")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(255))).alias("inside"))  # 126 starts at most
-    opened = starts.join(contents.select("block", "doc_id", "text_key", F.shiftright("place", 8).alias("first")), "block").select("doc_id", "text_key", F.explode(F.transform("inside", lambda x: (F.col("first") + x) * 1024 + match)).alias("span"))
-    spans = scratch.spark.read.parquet(scratch.path("whole")).unionByName(opened)
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list("span").alias("spans"))
+    edges = found.filter("n IS NOT NULL").withColumn("least", F.expr("CASE WHEN place < 0 THEN -1 - place ELSE place END"))
+    across = edges.groupBy("t0", "t1").agg(F.sum("n").alias("all"), F.min("least").alias("lo"), F.max("partner").alias("hi")).filter("all > 1")
+    met = edges.filter("n = 1 AND place >= 0").join(across, ["t0", "t1"]).selectExpr("place", "CASE WHEN place = lo THEN hi ELSE lo END AS partner")
+    again = found.filter("n IS NULL").select("place", "partner").unionByName(met)
+    return _compared(again, cuts, scratch, match)
+
+
+def _compared(again: DataFrame, cuts: DataFrame, scratch: Scratch, match: int) -> DataFrame:
+    """block, start, size of the starts that equal their partners byte for byte."""
+    pairs = again.selectExpr("shiftright(place, 8) AS block", "CAST(place & 255 AS INT) AS inside", "shiftright(partner, 8) AS other", "CAST((partner & 255) - (place & 255) AS INT) AS shift")
+    half = STARTS // 2
+    bits = pairs.groupBy("block", "other", "shift").agg(
+        F.expr(f"bit_or(CASE WHEN inside < {half} THEN shiftleft(1L, inside) ELSE 0L END)").alias("low"),
+        F.expr(f"bit_or(CASE WHEN inside >= {half} THEN shiftleft(1L, inside - {half}) ELSE 0L END)").alias("high"),
+    )
+    listed = bits.selectExpr("block", "other", "shift", f"filter(sequence(0, {STARTS - 1}), i -> (CASE WHEN i < {half} THEN shiftright(low, i) ELSE shiftright(high, i - {half}) END) & 1 = 1) AS inside")
+    listed = scratch.keep(listed.withColumns({"first": F.col("inside")[0], "row": F.expr("element_at(inside, -1) - inside[0] + 1 = size(inside)")}), "listed")
+    both = listed.join(cuts.select("block", F.col("data").alias("x")), "block").join(cuts.select(F.col("block").alias("other"), F.col("data").alias("y")), "other")
+    one = f"substring(x, i + 1, {match}) = substring(y, i + shift + 1, {match})"
+    whole = f"row AND substring(x, first + 1, size(inside) - 1 + {match}) = substring(y, first + shift + 1, size(inside) - 1 + {match})"
+    equal = scratch.keep(both.selectExpr("block", "other", "shift", "inside", f"CASE WHEN {whole} THEN inside ELSE filter(inside, i -> {one}) END AS equal"), "equal")
+    scratch.drop("listed", "found")
+    release_shuffles(scratch.spark)
+    runs = f"CASE WHEN element_at(equal, -1) - equal[0] + 1 = size(equal) THEN array(struct(equal[0] AS start, size(equal) - 1 + {match} AS size)) ELSE transform(equal, i -> struct(i AS start, {match} AS size)) END"
+    sure = equal.filter("size(equal) > 0").select("block", F.expr(f"inline({runs})"))
+    torn = equal.filter("size(equal) < size(inside)")
+    if torn.isEmpty():
+        return sure
+    # Different strings with one hash: what differs from its partner is grouped by its bytes, and partners count by whom they equal.
+    apart = torn.select("block", F.explode(F.array_except("inside", "equal")).alias("i")).join(cuts.filter("open").select("block", "data"), "block").select("block", "i", F.expr(f"substring(data, i + 1, {match})").alias("s"))
+    same = apart.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s")
+    grouped = apart.join(same, "s", "left_semi").selectExpr("block", "i AS start", f"{match} AS size")
+    partners = equal.selectExpr("other AS block", "explode(transform(equal, i -> i + shift)) AS start", f"{match} AS size").join(cuts.filter("open").select("block"), "block", "left_semi")
+    return sure.unionByName(grouped).unionByName(partners)
 
 
 def covered(spans: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -280,8 +339,10 @@ def cut_spans(raw: bytes, spans) -> tuple[bytes, int, int]:
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", match: int = MATCH) -> DataFrame:
     """All columns of df with the repeated bytes gone from the text; a character cut in half goes whole. A null text stays null."""
     spans = repeated_spans(df, Scratch(df.sparkSession, "suffixes"), id_col, text_col, match)
-    keyed = df.withColumns({"__id": F.col(id_col), "__key": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    joined = keyed.join(spans.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__text"), F.col("spans").alias("__spans")), F.expr("__id <=> __doc AND __key = __text"), "left").select(*df.columns, "__spans")
+    own, key, found = unused(df, "own_id", "text_key", "spans")
+    keyed = df.withColumns({own: F.col(id_col), key: F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    met = keyed.select(F.struct(*df.columns).alias("row"), F.col(own).alias("a_id"), F.col(key).alias("a_key")).join(spans.selectExpr("doc_id AS b_id", "text_key AS b_key", f"spans AS `{found}`"), F.expr("a_id <=> b_id AND a_key = b_key"), "left")
+    joined = met.select("row.*", found)
     names, place = df.columns, df.columns.index(text_col)
 
     def run(batch):
