@@ -5,7 +5,8 @@ lines. Training maximises the likelihood of the document's label on all its line
 score is the mean of the lines' forward-backward marginals of `good`, weighted by their lengths.
 
 An empty or null text is a single empty line and has a score too. Rows are scored each for itself, so repeated rows
-get equal scores. Without labels of both kinds the score is the share of label 1 (0.5 without labels) everywhere.
+get equal scores; an empty table gives an empty result, and names of other columns don't matter. Without labels of both
+kinds the score is the share of label 1 (0.5 without labels) everywhere.
 """
 
 from __future__ import annotations
@@ -73,8 +74,8 @@ class LineField:
     def emissions(self, features: np.ndarray) -> np.ndarray:
         return sum(self.weights[column] for column in features.T) + self.bias
 
-    def marginals(self, good: np.ndarray, lines_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P(good) of each line, the expected transitions, and the log of each document's partition.
+    def marginals(self, good: np.ndarray, lines_of: np.ndarray, importance: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P(good) of each line, the expected transitions (a document's times its importance, if given), and the log of each document's partition.
 
         Documents step forward together; those with fewer lines drop out.
         """
@@ -103,7 +104,8 @@ class LineField:
         inner = np.ones(len(good), bool)
         inner[np.cumsum(lines_of) - lines_of] = False
         at = np.flatnonzero(inner)
-        pair = np.exp(alpha[at - 1][:, :, None] + self.steps + (emit[at] + beta[at])[:, None, :] - of_line[at][:, None, None]).sum(0)
+        both = np.exp(alpha[at - 1][:, :, None] + self.steps + (emit[at] + beta[at])[:, None, :] - of_line[at][:, None, None])
+        pair = both.sum(0) if importance is None else np.einsum("i,ijk->jk", np.repeat(importance, lines_of)[at], both)
         return np.exp(alpha[:, 1] + beta[:, 1] - of_line), pair, back
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -113,34 +115,47 @@ class LineField:
         return np.clip(np.add.reduceat(p * weight, at) / np.add.reduceat(weight, at), 0, 1)
 
 
+def _field(theta: np.ndarray) -> LineField:
+    return LineField(theta[:FEATURES], theta[FEATURES:-1].reshape(2, 2), theta[-1])
+
+
+def objective(theta: np.ndarray, features: np.ndarray, lines_of: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> tuple[float, np.ndarray]:
+    """The penalised log-likelihood of documents' labels on all their lines, and its gradient.
+
+    A document counts by 1 / sqrt(its lines); these importances, summed over lines, make 1.
+    """
+    doc = np.repeat(np.arange(len(lines_of)), lines_of)
+    importance = 1 / np.sqrt(lines_of)
+    importance /= importance[doc].sum()
+    field = _field(theta)
+    good = field.emissions(features)
+    p, pair, log_z = field.marginals(good, lines_of, importance)
+    inner, label = lines_of - 1, y.astype(int)
+    path = np.bincount(doc, good * y[doc], len(lines_of)) + inner * field.steps[label, label]
+    seen = np.diag(np.bincount(label, inner * importance, 2))
+    error = (y[doc] - p) * importance[doc]
+    g = np.concatenate([sum(np.bincount(column, error, FEATURES) for column in features.T), (seen - pair).reshape(-1), [error.sum()]])
+    weight = penalty / len(theta) ** 0.5
+    return float(importance @ (path - log_z) - weight / 2 * theta @ theta), g - weight * theta
+
+
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float = PENALTY) -> LineField:
-    """Adam on the mean log-likelihood a line; documents count equally by the square root of their lines."""
+    """Adam on the objective."""
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.5
         return LineField(np.zeros(FEATURES), np.zeros((2, 2)), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
     raw = encoded(texts)
-    found = [line_features(raw[a:b]) for a, b in sliced(raw, 1 << 20)]
+    found = [line_features(raw[a:b]) for a, b in sliced(raw)]
     features, lines_of = np.concatenate([f.astype(np.int16) for f, _, _ in found]), np.concatenate([n for _, _, n in found])
     del raw, found
-    doc = np.repeat(np.arange(len(texts)), lines_of)
-    importance = (1 / np.sqrt(lines_of))[doc]
-    importance /= importance.sum()
-    target, inner = y[doc], lines_of - 1
     theta = np.zeros(FEATURES + 5)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    share = np.zeros((2, 2))
-    stay = (inner / np.sqrt(lines_of) * np.stack([1 - y, y])).sum(1) / (1 / np.sqrt(lines_of))[doc].sum()
-    share[0, 0], share[1, 1] = stay
     for k in range(1, steps + 1):
-        field = LineField(theta[:FEATURES], theta[FEATURES:-1].reshape(2, 2), theta[-1])
-        p, pair, _ = field.marginals(field.emissions(features), lines_of)
-        error = (target - p) * importance
-        g = np.concatenate([sum(np.bincount(column, error, FEATURES) for column in features.T), (share - pair / max(1, pair.sum()) * share.sum()).reshape(-1), [error.sum()]])
-        g -= penalty * theta / len(theta) ** 0.5
+        _, g = objective(theta, features, lines_of, y, penalty)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
-    return LineField(theta[:FEATURES], theta[FEATURES:-1].reshape(2, 2), theta[-1])
+    return _field(theta)
 
 
 def score(df: DataFrame, field: LineField, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

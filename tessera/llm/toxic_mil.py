@@ -8,7 +8,7 @@ Features are whole words and their first 3 to 7 bytes, in lower case. Only featu
 LEAST_DOCUMENTS of its documents, LEAST_LIFT times as often as elsewhere) are fitted; a sentence without any scores 0.
 
 A null or empty text has no sentence with a word and scores 0. Rows are scored each for itself; repeated rows get
-equal scores. Without labels of both kinds there are no features and every score is the share of label 1.
+equal scores; an empty table gives an empty result, and names of other columns don't matter. Without labels of both kinds there are no features and every score is the share of label 1.
 """
 
 from __future__ import annotations
@@ -100,6 +100,20 @@ def _markers(texts: list[bytes], y: np.ndarray, least: int, lift: float) -> np.n
     return feature[n / y.sum() >= lift * other / (y == 0).sum()]
 
 
+def objective(theta: np.ndarray, bias: float, where: np.ndarray, what: np.ndarray, doc: np.ndarray, n: int, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean noisy-or log-likelihood of documents' labels and its gradient (features, then the bias).
+
+    Pairs where, what say which of the n sentences holds which feature; doc is each sentence's document. A document
+    without sentences here has a score of 0; scores are held off 0 and 1 by e**-30 and 1e-9.
+    """
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(where, theta[what], n) + bias, -30, 30)))
+    log_clean = np.maximum(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)), -30)
+    clean = np.exp(log_clean)
+    value = np.where(y == 1, np.log(np.maximum(1 - clean, 1e-9)), log_clean).mean()
+    d = np.where(y[doc] == 1, (clean / np.maximum(1 - clean, 1e-9))[doc] * p, -p) / len(y)
+    return float(value), np.append(np.bincount(what, d[where], len(theta)), d.sum())
+
+
 def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float = PENALTY, least: int = LEAST_DOCUMENTS, lift: float = LEAST_LIFT) -> SentenceModel:
     """Adam with soft thresholds on the mean noisy-or log-likelihood."""
     y = np.array(labels)
@@ -125,10 +139,7 @@ def fit(texts: list[str], labels: list[int], steps: int = STEPS, penalty: float
     theta, bias = np.zeros(size), -3.0
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for k in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(where, theta[what], n) + bias, -30, 30)))
-        clean = np.exp(np.maximum(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(raw)), -30))
-        d = np.where(y[doc] == 1, (clean / np.maximum(1 - clean, 1e-9))[doc] * p, -p) / len(raw)
-        g = np.append(np.bincount(what, d[where], size), d.sum())
+        _, g = objective(theta, bias, where, what, doc, n, y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-7)
         theta = theta + step[:-1]
