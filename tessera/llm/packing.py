@@ -3,10 +3,13 @@
 An overlong document is first cut into full windows, each a sequence of its own; the rests are dealt evenly over
 tasks, each of which packs its share, longest first, always into the open window that it leaves least room in.
 A segment tree indexed by remaining capacity finds that window. A task leaves a few windows with padding, so
-padding falls as shares grow. Every token lies in exactly one piece.
+padding falls as shares grow. Every token lies in exactly one piece. A task packs lengths alone (some 50 bytes a
+piece); ids, where asked for, are joined to their places afterwards.
+
+Ids are those of the tokenizers library: see vocab.Merges for where its merges are run by tiktoken's loop instead.
 
 A null or empty text is the end id alone. Repeated rows are packed each for itself; pieces of rows with the same
-doc_id can't be told apart by doc_id. An empty table has no pieces.
+doc_id can't be told apart by doc_id. An empty table has no pieces. Names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -17,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import map_batches, texts_of
+from .common import Scratch, map_batches, texts_of
 from .vocab import library_ids, vocabulary
 
 VOCABULARY = "word_bpe_49k.json"
@@ -126,17 +130,29 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
         yield from rows.cast(arrow).to_batches(max_chunksize=10_000)
 
     # Within a share the order of equal lengths must not depend on which shuffle block came first.
-    return pieces.repartition("doc_id", "start").sortWithinPartitions("doc_id", "start", "ids_crc32").mapInArrow(run, schema)
+    return pieces.repartition("doc_id", "start", "ids_crc32").sortWithinPartitions("doc_id", "start", "ids_crc32").mapInArrow(run, schema)
 
 
 def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = VOCABULARY, window: int = WINDOW, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
-    return pack(pieces_of(df, id_col, text_col, model, window, end_id, with_ids), window)
+    """Pieces with sequence_id and offset, and their ids if asked for."""
+    pieces = pieces_of(df, id_col, text_col, model, window, end_id, with_ids)
+    if not with_ids:
+        return pack(pieces, window)
+    # Written, so that each piece has a number that stays, and texts are encoded once.
+    held = Scratch(df.sparkSession, "packing").keep(pieces.withColumn("piece", F.monotonically_increasing_id()), "pieces", compression="zstd")
+    packed = pack(held.drop("ids"), window)
+    return packed.join(held.select("piece", "ids"), "piece").select(*pieces.columns, "sequence_id", "offset")
+
+
+def padding(packed: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row: sequences, tokens, padding (tokens that fill sequences up to the window, but for lengths that are a power of two), share of padding."""
+    sums = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
+    total = sums.agg(F.count(F.lit(1)).alias("sequences"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.when(F.expr("n & (n - 1)") == 0, 0).otherwise(window - F.col("n"))), F.lit(0)).alias("padding"))
+    return total.withColumn("share", F.coalesce(F.try_divide(F.col("padding").cast("double"), F.col("padding") + F.col("tokens")), F.lit(0.0)))
 
 
 def sequences(packed: DataFrame, window: int = WINDOW, pad_id: int = END_ID) -> DataFrame:
     """One row a sequence: sequence_id, length, ids (packed, padded to the window unless the length is a power of two). Needs pieces with ids."""
-    from pyspark.sql import functions as F
-
     held = packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("held"))  # a window's pieces: bounded by its size
 
     def run(batch):

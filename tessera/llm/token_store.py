@@ -11,6 +11,9 @@ block, in ascending order of doc_id within a shard, shards in ascending order).
 With the checkpoints a reader starts in the middle; decoding steps through all stretches at once, one table
 look-up for each stretch and step. Blocks end where documents end, so a document needs no second block.
 
+Ids are those of the tokenizers library. Where a file's merges can be rebuilt as byte ranks they are run by tiktoken's
+loop over them (vocab.Merges says when, tests hold it against the library); else the library itself encodes.
+
 Documents with a null text hold the end id alone. Null doc_ids come first. Rows with the same doc_id are kept,
 in any order among themselves. An empty table makes a store without blocks.
 """
@@ -25,12 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_batches, started, trimmed
+from .common import Scratch, few, map_batches, started, trimmed
 from .vocab import library, library_ids, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 BLOCK_TOKENS = 1 << 18
+#: Shards' starts are broadcast up to this many.
+SHARDS = 100_000
 STEP = 128
 LIMIT = 18
 MAGIC = b"TKH1"
@@ -180,12 +185,7 @@ def write_store(spark: SparkSession, df: DataFrame, scratch: Scratch, id_col: st
     path = vocabulary(model)
     size = max(library(path).get_vocab_size(), end_id + 1)
     wide = "<u2" if library(path).get_vocab_size() <= 1 << 16 else "<u4"
-    spark_zstd = spark.conf.get("spark.sql.parquet.compression.codec")
-    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
-    try:
-        ids = scratch.keep(_token_blocks(df, id_col, text_col, path, end_id), "ids")
-    finally:
-        spark.conf.set("spark.sql.parquet.compression.codec", spark_zstd)
+    ids = scratch.keep(_token_blocks(df, id_col, text_col, path, end_id), "ids", compression="zstd")
 
     def count(batches):
         import pyarrow as pa
@@ -230,9 +230,9 @@ def read_store(spark: SparkSession, scratch: Scratch, with_ids: bool = True) ->
     """From the files: doc_id, start, n_tokens, ids_crc32 and, if asked for, ids (packed unsigned 32-bit)."""
     blocks = spark.read.schema("shard int, shard_start bigint, n_tokens bigint, payload binary").parquet(scratch.path("blocks"))
     lengths = bytes(spark.read.parquet(scratch.path("codebook")).first()["lengths"])
-    # One row for each shard that was written, so one for each write task.
+    # One row for each shard that was written, so one for each write task: its count is checked all the same.
     before = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    placed = blocks.join(F.broadcast(before), "shard").select((F.col("before") + F.col("shard_start")).alias("start"), "payload")
+    placed = blocks.join(few(scratch.keep(before, "shards"), SHARDS), "shard").select((F.col("before") + F.col("shard_start")).alias("start"), "payload")
 
     def run(batch):
         for i in range(batch.num_rows):

@@ -16,7 +16,7 @@ import regex
 
 from .common import cached
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 #: White space as the tokenizer libraries see it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CUT = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -95,10 +95,16 @@ def split_regex(text: str) -> regex.Pattern:
     return regex.compile(text.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", rf"[{WHITE}]").replace(r"\S", rf"[^{WHITE}]"))
 
 
+#: Options of a file's model that change what its merges give.
+_PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
 class Merges:
     """The merges of a library file as ranks over bytes, run by tiktoken's merge loop.
 
     A word-end suffix becomes the byte 255, which UTF-8 never has: joining a byte with it comes before all merges.
+    Raises ValueError for a file whose merges can't be told so: a model with other options, a byte or a merge
+    without an id, a merge of parts that no earlier rank makes, or one that stands twice.
     """
 
     def __init__(self, path: str):
@@ -106,14 +112,26 @@ class Merges:
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
+        odd = {k: model.get(k) for k, v in _PLAIN_MODEL.items() if (model.get(k) or None) != (v or None)}
+        if odd:
+            raise ValueError(f"{path}: a model with {odd}")
         ids, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         byte_of = {c: b for b, c in _AS_CHAR.items()}
         raw = lambda t: bytes(byte_of[c] for c in t.removesuffix(suffix)) + b"\xff" if suffix and t.endswith(suffix) else bytes(byte_of[c] for c in t)
         tokens = [bytes([b]) for b in range(256)] + ([bytes([b, 255]) for b in range(256)] if suffix else [])
         own = {raw(t): i for t, i in ids.items() if all(c in byte_of for c in t.removesuffix(suffix))}
-        tokens += [raw("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        known = set(tokens)
+        for m in model["merges"]:
+            parts = [raw(x) for x in (m if isinstance(m, list) else m.split(" "))]
+            joined = b"".join(parts)
+            if joined in known or not known.issuperset(parts):
+                raise ValueError(f"{path}: the merge {m} can't be told by ranks")
+            known.add(joined)
+            tokens.append(joined)
         self.end = b"\xff" if suffix else b""
-        self.ids = np.array([own.get(t, 0) for t in tokens], "<u4")
+        if lost := [t for t in tokens if t not in own]:
+            raise ValueError(f"{path}: no id for {lost[:3]}")
+        self.ids = np.array([own[t] for t in tokens], "<u4")
         self.text = tiktoken.Encoding(os.path.basename(path), pat_str=pattern(), mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
         self.piece = self.text._core_bpe.encode_single_piece
 
@@ -150,11 +168,16 @@ class LibraryWords:
 class LibraryIds:
     """Whole texts to packed ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
 
-    A file with a normaliser that drops white space is encoded run by run between spaces, from a memo.
+    A file with a normaliser that drops white space is encoded run by run between spaces, from a memo. A file whose
+    merges can't be told by ranks is left to the library.
     """
 
     def __init__(self, path: str):
-        self.by = LibraryWords(path)
+        try:
+            self.by = LibraryWords(path)
+        except ValueError:
+            self.by, self.lib = None, library(path)
+            return
         if not all("<" in s for s in self.by.special):
             raise ValueError("special strings without < are not known here")
         self.words = Memo(self.by.merges.of_word, most=MEMO_ENTRIES // 2)
@@ -164,11 +187,15 @@ class LibraryIds:
         split = self.by.pre_tokens(piece)
         if split is None:
             return np.array(self.by.whole_piece(piece), "<u4").tobytes()
+        if len(split) == 1:  # held as a piece already
+            return self.by.merges.of_word(split[0])
         return b"".join(self.words.values_of(split))
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.by is None:
+            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.by.lower:
             return b"".join(self.pieces.values_of(text.split(" ")))
         if any(s in text for s in self.by.special):
