@@ -1,7 +1,10 @@
 """GIF media columns: LZW code streams, palettes, disposal and transparency, timed frames with colour histograms.
 
-Null content gives no frames; bytes that are not a GIF raise in `decode` and come out of `frames_of` as one row with
-an error and null columns. For `store_texts`, null texts are empty; equal texts give equal rows.
+Null content gives no frames. Bytes that are not a GIF, code streams that no encoder makes, and images of over MOST_PIXELS
+pixels raise ValueError in `decode` and come out of `frames_of` as one row with an error and null columns. A stream that
+is cut off gives its frames up to there: an image says how many of its samples are missing (they are 0), and its row in
+`frames_of` has both the picture and the error. For `store_texts`, null texts are empty; equal texts give equal rows. An
+empty table gives an empty result; names of other columns don't matter.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from .common import map_batches, texts_of
 #: Samples in a row of a stored payload, and rows in a frame at most.
 ROW = 576
 FRAME_ROWS = 448
+#: Pixels of a canvas or an image at most: a picture of 4 bytes each is held.
+MOST_PIXELS = 1 << 26
 GREY = bytes(x for i in range(256) for x in (i, i, i))
 KEEP, TO_BACKGROUND, TO_PREVIOUS = 1, 2, 3
 #: Codes that fit between two clear codes, for 8-bit samples.
@@ -82,6 +87,8 @@ def lzw_encode(samples: bytes, least: int = 8) -> bytes:
 
 def lzw_decode(data: bytes, least: int, most: int) -> bytes:
     """Samples of a code stream, `most` of them at most. Clear codes may come early, or late with the table full."""
+    if least not in _STARTS:
+        raise ValueError(f"a least code size of {least}")
     clear, starts = 1 << least, _STARTS[least]
     buffer = data + bytes(8)
     at = np.ndarray((len(buffer) - 3,), "<u4", buffer, strides=(1,))
@@ -103,6 +110,8 @@ def lzw_decode(data: bytes, least: int, most: int) -> bytes:
             used = int(stop[0]) if len(stop) else fits
             run = codes[:used].tolist()
             if not chunk and run:
+                if run[0] >= clear:
+                    raise ValueError("a code points past the table")
                 previous = entries[run[0]]
                 emit(previous)
                 run = run[1:]
@@ -149,6 +158,7 @@ class Frame:
     transparent: int | None = None
     palette: bytes | None = None
     interlaced: bool = False
+    missing: int = 0
 
 
 @dataclass
@@ -201,11 +211,21 @@ def _interlace(height: int) -> np.ndarray:
     return np.concatenate([np.arange(0, height, 8), np.arange(4, height, 8), np.arange(2, height, 4), np.arange(1, height, 2)])
 
 
-def decode(data: bytes) -> Gif:
+def decode(data: bytes, most_pixels: int = MOST_PIXELS) -> Gif:
+    """The images of a GIF with their times and rules; raises ValueError for what is none."""
+    try:
+        return _decoded(data, most_pixels)
+    except (IndexError, struct.error) as e:
+        raise ValueError(f"cut off before an image: {e}") from e
+
+
+def _decoded(data: bytes, most_pixels: int) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, packed, background, _ = struct.unpack_from("<HHBBB", data, 6)
     at = 13
+    if width * height > most_pixels:
+        raise ValueError(f"a canvas of {width} x {height}")
     palette = None
     if packed & 0x80:
         palette, at = data[at : at + (6 << (packed & 7))], at + (6 << (packed & 7))
@@ -214,7 +234,7 @@ def decode(data: bytes) -> Gif:
 
     def body(at: int) -> tuple[bytes, int]:
         found = []
-        while n := data[at]:
+        while at < len(data) and (n := data[at]):
             found.append(data[at + 1 : at + 1 + n])
             at += n + 1
         return b"".join(found), at + 1
@@ -232,18 +252,21 @@ def decode(data: bytes) -> Gif:
         elif kind == 0x2C:
             left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
             at += 10
+            if w * h > most_pixels:
+                raise ValueError(f"an image of {w} x {h}")
             own = None
             if flags & 0x80:
                 own, at = data[at : at + (6 << (flags & 7))], at + (6 << (flags & 7))
             least = data[at]
             content, at = body(at + 1)
             samples = lzw_decode(content, max(2, least), w * h)
+            missing = w * h - len(samples)
             index = np.frombuffer(samples.ljust(w * h, b"\0"), np.uint8).reshape(h, w)
             if flags & 0x40:
                 straight = np.empty_like(index)
                 straight[_interlace(h)] = index
                 index = straight
-            gif.frames.append(Frame(index, left, top, control[1], control[0], control[2], own, bool(flags & 0x40)))
+            gif.frames.append(Frame(index, left, top, control[1], control[0], control[2], own, bool(flags & 0x40), missing))
             control = (0, 0, None)
         else:
             raise ValueError("an unknown block")
@@ -258,6 +281,8 @@ def store(payload: bytes) -> bytes:
 
 def restore(media: bytes) -> tuple[bytes, Gif]:
     gif = decode(media)
+    if any(f.missing for f in gif.frames):
+        raise ValueError("the payload is cut off")
     return b"".join(f.indices.tobytes() for f in gif.frames), gif
 
 
@@ -307,7 +332,7 @@ def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     return map_batches(src, joined, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, frames int, duration_ms bigint" + ", media binary" * with_media)
 
 
-def frames_of(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
+def frames_of(df: DataFrame, media_col: str = "media", id_col: str = "doc_id", most_pixels: int = MOST_PIXELS) -> DataFrame:
     """A row for each frame as shown: doc_id, frame, start_ms, delay_ms, width, height, opaque (pixels), red, green, blue (16-bin histograms of opaque pixels), rgba, error."""
 
     def run(batch):
@@ -316,14 +341,14 @@ def frames_of(df: DataFrame, media_col: str = "media", id_col: str = "doc_id") -
                 continue
             row = dict.fromkeys(("frame", "start_ms", "delay_ms", "width", "height", "opaque", "red", "green", "blue", "rgba", "error"))
             try:
-                gif = decode(m.as_py())
-            except (ValueError, IndexError, struct.error) as e:
+                gif = decode(m.as_py(), most_pixels)
+            except ValueError as e:
                 yield {"doc_id": [d.as_py()]} | {k: [v] for k, v in (row | {"error": str(e)}).items()}
                 continue
             for k, (start, image) in enumerate(gif.rendered()):
                 solid = image[image[..., 3] > 0]
                 hist = [np.bincount(solid[:, c] >> 4, minlength=16).tolist() for c in range(3)]
-                out = row | {"frame": k, "start_ms": start, "delay_ms": gif.frames[k].delay_ms, "width": gif.width, "height": gif.height, "opaque": len(solid), "red": hist[0], "green": hist[1], "blue": hist[2], "rgba": image.tobytes()}
+                out = row | {"frame": k, "start_ms": start, "delay_ms": gif.frames[k].delay_ms, "width": gif.width, "height": gif.height, "opaque": len(solid), "red": hist[0], "green": hist[1], "blue": hist[2], "rgba": image.tobytes(), "error": f"{gif.frames[k].missing} samples are missing" if gif.frames[k].missing else None}
                 yield {"doc_id": [d.as_py()]} | {k: [v] for k, v in out.items()}
 
     src = df.selectExpr(f"`{id_col}` AS doc_id", f"CAST(`{media_col}` AS binary) AS media")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+# The stages' queries are in corpus_pipeline.py, which adds its own.
 from . import bpe_prefix, exact_fingerprint, gif_media, packing, quality_crf, simhash_balls, suffix_dedup, token_counts, token_store, toxic_mil
 from .common import Scratch, table
 
@@ -52,13 +53,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
-
-
-QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_bpe_prefix, op3_exact_fingerprint, op4_gif_media, op5_token_counts, op6_simhash_balls, op7_token_store, op8_toxic_mil, op9_packing, op10_suffix_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_crf, op2_bpe_prefix, op3_exact_fingerprint, op4_gif_media, op5_token_counts, op6_simhash_balls, op7_token_store, op8_toxic_mil, op9_packing, op10_suffix_dedup)}
 
 #: No operator's rows can be had from SQL: models, tokenizers, xxhash64, LZW, packing. Brute-force tests stand in their place.
 ORACLE_SQL: dict[str, str] = {}

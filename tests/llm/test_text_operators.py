@@ -83,8 +83,13 @@ def test_fingerprints(spark, awkward):
     got = {r.doc_id: (r.fingerprint, r.copies) for r in exact_fingerprint.fingerprints(df).collect()}
     assert got[1] == got[2] and got[3] == got[4] and got[5] == got[6] and len({v for v, _ in got.values()}) == 4
     # Colliding digests are told apart by their bytes.
-    weak = exact_fingerprint.fingerprints(df, digest_of=lambda c: exact_fingerprint.F.lit("0"))
+    same = lambda c: exact_fingerprint.F.lit("0")
+    weak = exact_fingerprint.fingerprints(df, digest_of=same)
     assert len({r.fingerprint for r in weak.collect()}) == 4
+    # ... in both columns by one rule, so that equal texts have equal fingerprints.
+    both = {r.doc_id: r for r in exact_fingerprint.edited_neighbours(df, digest_of=same).collect()}
+    assert both[3].fingerprint == both[3].edited_fingerprint == both[4].fingerprint and both[7].fingerprint == both[7].edited_fingerprint
+    assert both[1].fingerprint == both[2].fingerprint != both[1].edited_fingerprint
     out = {r.doc_id: r for r in exact_fingerprint.edited_neighbours(df).collect()}
     order = sorted(rows, reverse=True)
     for i, (d, t) in enumerate(order):
@@ -98,9 +103,34 @@ def test_fingerprints(spark, awkward):
 
 
 def test_next_over_ranges(spark):
-    df = spark.createDataFrame([(i * 7, str(i)) for i in range(500)], "doc_id long, text string")
+    df = spark.createDataFrame([(i * 7, str(i), i) for i in range(500)], "doc_id long, text string, key long")
     got = {r.doc_id: r.next_text for r in exact_fingerprint.with_next(df, ["text"], bucket_rows=20).collect()}
     assert got == {i * 7: str((i - 1) % 500) for i in range(500)}
+    # A frequent id and missing ids are dealt over several ranges by the hash; the whole is still one circle.
+    rows = [(5 if i % 3 else None if i % 2 else i, str(i), (i * 0x9E3779B97F4A7C15 & (1 << 64) - 1) - (1 << 63)) for i in range(600)]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    got = {r.text: r.next_text for r in exact_fingerprint.with_next(spark.createDataFrame(rows, "doc_id long, text string, key long"), ["text"], bucket_rows=20).collect()}
+    follows = {a[1]: b[1] for a, b in zip(order, [*order[1:], order[0]])}
+    assert set(got) == set(follows) and sorted(got.values()) == sorted(follows.values())
+    assert {k: v for k, v in got.items() if rows[int(k)][0] not in (5, None)} == {k: v for k, v in follows.items() if rows[int(k)][0] not in (5, None)}
+    seen, at = set(), order[0][1]
+    while at not in seen:
+        seen.add(at)
+        at = got[at]
+    assert len(seen) == 600
+
+
+def test_canonical_of_tables(spark, docs):
+    """Against Python's own normalisation and case folding, over whole tables."""
+    import re
+    import unicodedata
+
+    pages = spark.read.parquet(f"{SF}/pages.parquet").selectExpr("html AS text")
+    rows = docs.select("text").unionByName(pages).unionByName(spark.createDataFrame([(t,) for t in AWKWARD], "text string"))
+    nfkc = lambda t: unicodedata.normalize("NFKC", t)
+    for r in rows.select("text", exact_fingerprint.canonical(rows["text"]).alias("canon")).collect():
+        plain = nfkc(nfkc(r.text or "").casefold())
+        assert r.canon == re.sub("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", plain).strip(" ")
 
 
 def test_lzw_round_trips():
@@ -130,6 +160,42 @@ def test_media(spark, awkward):
     assert frames.filter("error IS NULL AND opaque = width * height").count() >= len(AWKWARD)
 
 
+def foreign_gif(width, height, colours, indices, least=2):
+    """A GIF as another encoder would write it: a clear code before every sample, so that no code is ever added."""
+    bits = "".join(f"{c:0{least + 1}b}"[::-1] for i in indices for c in (1 << least, i)) + f"{(1 << least) + 1:0{least + 1}b}"[::-1]
+    data = bytes(int(bits[k : k + 8][::-1], 2) for k in range(0, len(bits), 8))
+    blocks = b"".join(bytes([len(p)]) + p for p in (data[k : k + 100] for k in range(0, len(data), 100)))
+    screen = width.to_bytes(2, "little") + height.to_bytes(2, "little")
+    return b"GIF87a" + screen + b"\x91\0\0" + bytes(colours) + b"\x2c" + bytes(4) + screen + b"\0" + bytes([least]) + blocks + b"\0;"
+
+
+def test_foreign_and_broken_gifs(spark):
+    rng = random.Random(9)
+    indices = [rng.randrange(4) for _ in range(60 * 60)]
+    good = foreign_gif(60, 60, range(12), indices)
+    gif = gif_media.decode(good)
+    assert gif.frames[0].indices.reshape(-1).tolist() == indices and not gif.frames[0].missing
+    cut = gif_media.decode(good[:400])
+    assert cut.frames[0].missing == 3600 - len([*filter(None, [1] * (3600 - cut.frames[0].missing))]) > 0
+    assert cut.frames[0].indices.reshape(-1)[: 3600 - cut.frames[0].missing].tolist() == indices[: 3600 - cut.frames[0].missing]
+    with pytest.raises(ValueError):
+        gif_media.restore(gif_media.store(b"x" * 5760)[:-20])
+    size = good.index(b"\x2c") + 10
+    broken = {"magic": b"PNG" + good[3:], "code size": good[:size] + b"\x0b" + good[size + 1 :], "canvas": good[:6] + b"\xff" * 4 + good[10:], "head": good[:9], "block": good[: size - 10] + b"\x77" + good[size - 9 :], "cut": good[:400]}
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in broken.items()] + [("null", None), ("good", bytearray(good))], "doc_id string, media binary")
+    got = {r.doc_id: r for r in gif_media.frames_of(rows).collect()}
+    assert set(got) == {*broken, "good"} and got["good"].error is None and got["good"].opaque == 3600
+    assert all(got[k].error and got[k].frame is None for k in broken if k != "cut") and "missing" in got["cut"].error and got["cut"].frame == 0
+    for _ in range(300):  # whatever bytes come: frames or ValueError
+        raw = bytearray(good)
+        for _ in range(rng.randrange(1, 6)):
+            raw[rng.randrange(6, len(raw))] = rng.randrange(256)
+        try:
+            gif_media.decode(bytes(raw[: rng.randrange(6, len(raw))]))
+        except ValueError:
+            pass
+
+
 def brute_prints(texts, words=4):
     out = []
     for t in texts:
@@ -224,6 +290,8 @@ def test_packing(awkward, docs):
                 at += r.length
             assert at <= 4096
     assert all(len(r.ids) in (4 * 4096, 4 * r.length) for r in packing.sequences(packing.pack_documents(awkward)).collect())
+    got = packing.padding(packing.pack_documents(docs, with_ids=False)).first()
+    assert got.tokens > 200 * 4096 and got.share < 0.02
 
 
 def test_best_fit_is_tightest():
@@ -318,6 +386,52 @@ def test_chain_marginals():
         at += n
 
 
+def test_chain_gradient():
+    """The gradient of the line field's objective against finite differences, on chains of unequal length."""
+    rng = np.random.default_rng(8)
+    lines = np.array([3, 1, 7, 2])
+    features = rng.integers(-1, quality_crf.FEATURES, (lines.sum(), 5))
+    features[features < 0] = 0
+    y, theta = np.array([1.0, 0, 1, 0]), rng.normal(size=quality_crf.FEATURES + 5) / 3
+    _, g = quality_crf.objective(theta, features, lines, y, 0.1)
+    for k in [*sorted(set(features[:, 0]))[:4], *range(quality_crf.FEATURES, len(theta))]:
+        step = np.zeros_like(theta)
+        step[k] = 1e-5
+        up, down = (quality_crf.objective(theta + s * step, features, lines, y, 0.1)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-5 - g[k]) < 1e-7
+    # The likelihood itself, by all labellings.
+    field, at, total = quality_crf._field(theta), 0, 0.0
+    good = field.emissions(features)
+    for n, label in zip(lines, y):
+        paths = [sum(good[at + k] * (c >> k & 1) for k in range(n)) + sum(field.steps[c >> k - 1 & 1, c >> k & 1] for k in range(1, n)) for c in range(1 << n)]
+        total += (paths[-1 if label else 0] - np.log(np.exp(paths).sum())) / np.sqrt(n)
+        at += n
+    assert np.isclose(quality_crf.objective(theta, features, lines, y, 0.0)[0], total / sum(np.sqrt(n) for n in lines))
+
+
+def test_noisy_or():
+    """Document scores and the gradient by plain loops over sentences and finite differences."""
+    rng = np.random.default_rng(9)
+    texts = [t.encode() for t in ("Bad grum here. Fine. So grum, so vile!", "All fine. Nothing else.", "vile grum", "", "Fine?\nvile. Vile. ok")]
+    hashes = toxic_mil.bags([b"grum vile"])[0][:, -1]
+    model = toxic_mil.SentenceModel(np.sort(hashes), rng.normal(size=2) + 1, -2.5)
+    weight = dict(zip(np.sort(hashes).tolist(), model.weights))
+    for t, got in zip(texts, model.scores(texts)):
+        clean = 1.0
+        for sentence in __import__("re").split(r"[.!?\n]", t.decode().lower()):
+            held = {int(h) for h in toxic_mil.bags([sentence.encode()])[0][:, -1]} & set(weight)
+            if held:
+                clean *= 1 - 1 / (1 + np.exp(-(sum(weight[h] for h in held) - 2.5)))
+        assert np.isclose(got, 1 - clean)
+    where, what, doc, y = np.array([0, 0, 1, 2, 3]), np.array([0, 1, 1, 2, 0]), np.array([0, 0, 1, 2]), np.array([1, 1, 0, 1])
+    theta = rng.normal(size=3)
+    _, g = toxic_mil.objective(theta, -1.0, where, what, doc, 4, y)
+    for k in range(4):
+        step = np.eye(4)[k] * 1e-6
+        up, down = (toxic_mil.objective(theta + s * step[:3], -1.0 + s * step[3], where, what, doc, 4, y)[0] for s in (1, -1))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-7
+
+
 def test_offending_sentences():
     texts = [f"Some words here. You are a grumbol indeed {k}. More words." if k % 3 == 0 else f"Some words here. You are a friend indeed {k}. More words." for k in range(300)]
     model = toxic_mil.fit(texts, [int(k % 3 == 0) for k in range(300)])
