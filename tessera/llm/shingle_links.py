@@ -7,13 +7,16 @@ are counted in a fixed number of counters (2**20, whatever the input), of which
 
 A meeting place doesn't emit all its pairs. Its members are verified against one hub, and components are formed. Where
 members of one place are still in different components, some of them, chosen by a hash and more in each round, are
-hubs for the others; only pairs that are near enough in size and place, and in different components, are verified. In
-the last round all members left apart are hubs, so no link that joins two components is lost. Equal sets are one node
+hubs for the others; only pairs that are near enough in size, place and parities, and in different components, are
+verified. Parities say of each of 1024 classes of hashes whether a set has an odd number: two sets differ by at least as
+many shingles as parities, so that none of similarity 0.8 is left out. In the last round all members left apart are hubs, so no link that joins two components is lost. Equal sets are one node
 throughout. Sets without words take no part.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,6 +28,8 @@ from .text_kernels import SPACE, joined, mixed, words
 
 COUNTER_BITS = 20
 BLOCKS = 64
+#: Bits of a set's parities.
+PARITIES = 1024
 #: First sums of counters are taken over tasks dealt into so many groups.
 GROUPS = 64
 #: Ids of sets are broadcast up to this many (some 24 bytes each); more are joined by a shuffle.
@@ -64,8 +69,16 @@ def shingle_sets(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]
     return h[new], np.bincount(owner[new], minlength=len(texts))
 
 
+def parities(h: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """For each set whether it holds an odd number of shingles of each class of hashes, as words of 64 bits."""
+    place = np.repeat(np.arange(len(n)), n) * PARITIES + (h & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = (np.bincount(place, minlength=len(n) * PARITIES) & 1).astype(np.uint8).reshape(len(n), PARITIES)
+    words = np.packbits(odd, axis=1, bitorder="little").view(np.int64).reshape(-1)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * (PARITIES // 64), pa.int32()), pa.array(words))
+
+
 def sets_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """doc_id, key0, key1 (of the text), fp, n, d0, d1 (128 bits that name the set), hashes, uid (of the row, once written)."""
+    """doc_id, key0, key1 (of the text), fp, n, d0, d1 (128 bits that name the set), parities, hashes, uid (of the row, once written)."""
     from .simhash_balls import fingerprints, text_keys
 
     src = texts_of(df, id_col, text_col)
@@ -80,9 +93,9 @@ def sets_of(df: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
             for salt in (1, 2):
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(h * _FACTORS[salt] + np.uint64(salt)))])
                 names.append(pa.array((total[ends[1:]] - total[ends[:-1]]).view(np.int64)))
-            yield {"doc_id": batch.column(0).slice(a, b - a), "key0": batch.column(2).slice(a, b - a), "key1": batch.column(3).slice(a, b - a), "fp": pa.array(fingerprints(texts[a:b], size).view(np.int64)), "n": pa.array(n, pa.int32()), "d0": names[0], "d1": names[1], "hashes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))}
+            yield {"doc_id": batch.column(0).slice(a, b - a), "key0": batch.column(2).slice(a, b - a), "key1": batch.column(3).slice(a, b - a), "fp": pa.array(fingerprints(texts[a:b], size).view(np.int64)), "n": pa.array(n, pa.int32()), "d0": names[0], "d1": names[1], "parities": parities(h, n), "hashes": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h.view(np.int64)))}
 
-    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key0 bigint, key1 bigint, fp bigint, n int, d0 bigint, d1 bigint, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id())
+    return map_batches(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, key0 bigint, key1 bigint, fp bigint, n int, d0 bigint, d1 bigint, parities array<bigint>, hashes array<bigint>").withColumn("uid", F.monotonically_increasing_id())
 
 
 def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -90,35 +103,42 @@ def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.diff(column.offsets.to_numpy())
 
 
-def frequency_classes(sets: DataFrame) -> np.ndarray:
-    """For each counter the binary logarithm of how many shingles of sets fall on it."""
-    block = (1 << COUNTER_BITS) // BLOCKS
+def _gathered(rows: DataFrame, size: int, kind: type, mark: Callable[[np.ndarray, pa.RecordBatch], None], join: np.ufunc) -> np.ndarray:
+    """An array of fixed size that each task marks for its rows, joined over tasks: first in GROUPS groups, then over these."""
+    block, ddl = size // BLOCKS, "part int, block int, held binary"
 
-    def count(batches):
+    def own(batches):
         started(__name__)
-        total, some = np.zeros(1 << COUNTER_BITS, np.int64), False
+        total, some = np.zeros(size, kind), False
         for batch in (whole.slice(a, BATCH_ROWS) for whole in batches for a in range(0, whole.num_rows, BATCH_ROWS)):
-            h, _ = _values(batch.column(0))
-            for a in range(0, len(h), SLICE_HASHES):
-                np.add.at(total, (h[a : a + SLICE_HASHES] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
+            mark(total, batch)
             some = True
         if some:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(BLOCKS, block)], pa.binary())], names=["part", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS] * BLOCKS, pa.int32()), pa.array(range(BLOCKS), pa.int32()), pa.array([p.tobytes() for p in total.reshape(BLOCKS, block)], pa.binary())], names=["part", "block", "held"])
         trimmed()
 
-    def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(block, np.int64)
-        for c in group["counts"]:
-            total += np.frombuffer(c.as_buffer(), np.int64)
-        return pa.table({"part": pa.array([0], pa.int32()), "block": pa.array([group["block"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def both(group: pa.Table) -> pa.Table:
+        total = np.zeros(block, kind)
+        for c in group["held"]:
+            join(total, np.frombuffer(c.as_buffer(), kind), out=total)
+        return pa.table({"part": pa.array([0], pa.int32()), "block": pa.array([group["block"][0].as_py()], pa.int32()), "held": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((BLOCKS, block), kind)
+    # A row a block: a fixed bound.
+    for r in rows.mapInArrow(own, ddl).groupBy("part", "block").applyInArrow(both, ddl).groupBy("block").applyInArrow(both, ddl).collect():
+        join(out[r["block"]], np.frombuffer(r["held"], kind), out=out[r["block"]])
+    return out.reshape(-1)
+
+
+def frequency_classes(sets: DataFrame) -> np.ndarray:
+    """For each counter the binary logarithm of how many shingles of sets fall on it."""
+
+    def count(total, batch):
+        h, _ = _values(batch.column(0))
+        for a in range(0, len(h), SLICE_HASHES):
+            np.add.at(total, (h[a : a + SLICE_HASHES] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), 1)
 
-    ddl = "part int, block int, counts binary"
-    sums = sets.select("hashes").mapInArrow(count, ddl).groupBy("part", "block").applyInArrow(add, ddl)
-    out = np.zeros((BLOCKS, block), np.int64)
-    # 64 rows for each of 64 groups at most: a fixed bound.
-    for r in sums.groupBy("block").applyInArrow(add, ddl).collect():
-        out[r["block"]] += np.frombuffer(r["counts"], np.int64)
-    return np.ceil(np.log2(out.reshape(-1) + 1)).astype(np.uint8)
+    return np.ceil(np.log2(_gathered(sets.select("hashes"), 1 << COUNTER_BITS, np.int64, count, np.add) + 1)).astype(np.uint8)
 
 
 def prefixes(sets: DataFrame, classes: np.ndarray) -> DataFrame:
@@ -201,16 +221,19 @@ def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
         placed = scratch.keep(rest.join(of_uid, "uid"), f"placed-{k}")
         apart = placed.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("h", "m")
         left = scratch.keep(placed.join(apart.hint("rebalance"), "h"), f"left-{k}")
-        scratch.drop(f"placed-{k}", "met", f"left-{k - 1}")
+        scratch.drop(f"placed-{k}", "met", f"left-{k - 1}", f"held-{k - 1}")
         if (most := left.agg(F.max("m")).first()[0]) is None:
             break
+        # What differs in more classes than sets of similarity 4/5 may differ in shingles isn't a pair.
+        left = scratch.keep(left.join(sets.select("uid", "parities"), "uid"), f"held-{k}")
+        unlike = "aggregate(zip_with(p.parities, q.parities, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
         hubs = left.filter(F.expr(f"pmod(xxhash64(uid, h), greatest(1, m div {share})) = 0"))
-        near = hubs.alias("p").join(left.alias("q"), "h").filter("p.root <> q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos"))
+        near = hubs.alias("p").join(left.alias("q"), "h").filter("p.root <> q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).filter(f"9 * {unlike} <= p.n + q.n")
         pairs = near.select(F.least("p.uid", "q.uid").alias("x"), F.greatest("p.uid", "q.uid").alias("y")).distinct()
         k += 1
         known = scratch.keep(known.unionByName(_verified(pairs, sets, scratch, f"links-{k}-")).distinct(), f"known-{k}")
         if most // share <= 1:  # all were hubs
             break
         rest, share = left.select("h", "uid", "n", "pos"), share * MORE_HUBS
-    scratch.drop("some", "own", f"left-{k}", f"left-{k - 1}")
+    scratch.drop("some", "own", *(f"{x}-{i}" for x in ("left", "held") for i in (k - 1, k)))
     return known

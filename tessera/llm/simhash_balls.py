@@ -298,7 +298,7 @@ def _classes(df: DataFrame, scratch: Scratch, id_col: str, text_col: str, words:
         near = near.unionByName(similar)
     roots = components(near, scratch)
     placed = scratch.keep(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
-    of_root = placed.groupBy("root").agg(F.min("first").alias("first"))
+    of_root = placed.groupBy("root").agg(F.min("first").alias("first")).hint("rebalance")
     named = scratch.keep(placed.select("fp", "root").join(of_root, "root").select("fp", "first"), "named")
     scratch.drop("nodes", "placed", *(f"links{k}" for k in range(ROUNDS)))
     return prints, named

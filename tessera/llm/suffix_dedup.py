@@ -200,9 +200,11 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     if cuts.count() > contents.count():  # rows that repeat doc_id and text give a block more than once
         cuts = scratch.keep(cuts.groupBy("block").agg(F.first("data").alias("data"), F.first("open").alias("open")), "cuts-once")
     starts = _repeated_starts(cuts, scratch, match)
-    opened = starts.join(contents.select("block", "doc_id", "text_key", F.shiftright("place", 8).alias("first")), "block").select("doc_id", "text_key", ((F.col("first") + F.col("start")) * 1024 + F.col("size")).alias("span"))
-    spans = scratch.spark.read.parquet(scratch.path("whole")).unionByName(opened)
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_set("span").alias("spans"))
+    of_doc = F.expr("transform(runs, r -> (first + r.start) * 1024 + r.size)").alias("held")
+    opened = starts.join(contents.select("block", "doc_id", "text_key", F.shiftright("place", 8).alias("first")), "block").select("doc_id", "text_key", of_doc)
+    spans = scratch.spark.read.parquet(scratch.path("whole")).select("doc_id", "text_key", F.array("span").alias("held")).unionByName(opened)
+    # Rows that repeat doc_id and text bring the same spans: a set holds them once.
+    return spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("held")).alias("spans"))
 
 
 def leading_token(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -212,7 +214,7 @@ def leading_token(raw: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def _repeated_starts(cuts: DataFrame, scratch: Scratch, match: int) -> DataFrame:
-    """From blocks (block, data, open): block, start and size of covering byte ranges of the open blocks' repeated starts."""
+    """From blocks (block, data, open): block, runs (start and size of byte ranges that cover the open blocks' repeated starts)."""
     if match <= 8:
         raise ValueError("strings of over 8 bytes are compared")
     total = cuts.agg(F.sum(F.length("data") - match + 1)).first()[0] or 0
@@ -273,7 +275,7 @@ def _repeated_starts(cuts: DataFrame, scratch: Scratch, match: int) -> DataFrame
 
 
 def _compared(again: DataFrame, cuts: DataFrame, scratch: Scratch, match: int) -> DataFrame:
-    """block, start, size of the starts that equal their partners byte for byte."""
+    """block, runs (start, size) of the starts that equal their partners byte for byte."""
     pairs = again.selectExpr("shiftright(place, 8) AS block", "CAST(place & 255 AS INT) AS inside", "shiftright(partner, 8) AS other", "CAST((partner & 255) - (place & 255) AS INT) AS shift")
     half = STARTS // 2
     bits = pairs.groupBy("block", "other", "shift").agg(
@@ -289,15 +291,15 @@ def _compared(again: DataFrame, cuts: DataFrame, scratch: Scratch, match: int) -
     scratch.drop("listed", "found")
     release_shuffles(scratch.spark)
     runs = f"CASE WHEN element_at(equal, -1) - equal[0] + 1 = size(equal) THEN array(struct(equal[0] AS start, size(equal) - 1 + {match} AS size)) ELSE transform(equal, i -> struct(i AS start, {match} AS size)) END"
-    sure = equal.filter("size(equal) > 0").select("block", F.expr(f"inline({runs})"))
+    sure = equal.filter("size(equal) > 0").select("block", F.expr(runs).alias("runs"))
     torn = equal.filter("size(equal) < size(inside)")
     if torn.isEmpty():
         return sure
     # Different strings with one hash: what differs from its partner is grouped by its bytes, and partners count by whom they equal.
     apart = torn.select("block", F.explode(F.array_except("inside", "equal")).alias("i")).join(cuts.filter("open").select("block", "data"), "block").select("block", "i", F.expr(f"substring(data, i + 1, {match})").alias("s"))
     same = apart.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("s")
-    grouped = apart.join(same, "s", "left_semi").selectExpr("block", "i AS start", f"{match} AS size")
-    partners = equal.selectExpr("other AS block", "explode(transform(equal, i -> i + shift)) AS start", f"{match} AS size").join(cuts.filter("open").select("block"), "block", "left_semi")
+    grouped = apart.join(same, "s", "left_semi").selectExpr("block", f"array(struct(i AS start, {match} AS size)) AS runs")
+    partners = equal.selectExpr("other AS block", f"transform(equal, i -> struct(i + shift AS start, {match} AS size)) AS runs").join(cuts.filter("open").select("block"), "block", "left_semi")
     return sure.unionByName(grouped).unionByName(partners)
 
 
