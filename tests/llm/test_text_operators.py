@@ -176,7 +176,7 @@ def test_foreign_and_broken_gifs(spark):
     gif = gif_media.decode(good)
     assert gif.frames[0].indices.reshape(-1).tolist() == indices and not gif.frames[0].missing
     cut = gif_media.decode(good[:400])
-    assert cut.frames[0].missing == 3600 - len([*filter(None, [1] * (3600 - cut.frames[0].missing))]) > 0
+    assert cut.frames[0].missing > 0
     assert cut.frames[0].indices.reshape(-1)[: 3600 - cut.frames[0].missing].tolist() == indices[: 3600 - cut.frames[0].missing]
     with pytest.raises(ValueError):
         gif_media.restore(gif_media.store(b"x" * 5760)[:-20])
