@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-#: Linear sRGB to XYZ (D65), the Bradford cone matrix, ROMM (RIMM) to XYZ (D50), white D50 as x, y.
-SRGB_TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+#: Linear sRGB to XYZ (D50), the Bradford cone matrix, XYZ (D50) to RIMM and back before their rows are made to sum to 1, white D50.
+SRGB_TO_XYZ = ((0.4360747, 0.3850649, 0.1430804), (0.2225045, 0.7168786, 0.0606169), (0.0139322, 0.0971045, 0.7141733))
 BRADFORD = ((0.8951, 0.2664, -0.1614), (-0.7502, 1.7135, 0.0367), (0.0389, -0.0685, 1.0296))
-RIMM_TO_XYZ = ((0.7976749, 0.1351917, 0.0313534), (0.2880402, 0.7118741, 0.0000857), (0.0, 0.0, 0.8252100))
-D50 = (0.34567, 0.35850)
+XYZ_TO_RIMM = ((1.3460, -0.2556, -0.0511), (-0.5446, 1.5082, 0.0205), (0.0, 0.0, 1.2123))
+RIMM_TO_XYZ = ((0.7977, 0.1352, 0.0313), (0.2880, 0.7119, 0.0001), (0.0, 0.0, 0.8249))
+D50 = (0.9642, 1.0, 0.8251)
 
 
 def matrix(m, names=("r", "g", "b")) -> list[str]:
@@ -25,13 +26,17 @@ def inverse(m):
     return tuple(tuple(float(v) for v in row) for row in np.linalg.inv(np.array(m, float)))
 
 
-def bradford(white_from: tuple[float, float], white_to: tuple[float, float]):
-    """Adaptation between two whites given as x, y."""
+def to_srgb():
+    """XYZ (D50) to linear sRGB: white goes to white."""
+    return row_normalised(inverse(SRGB_TO_XYZ))
+
+
+def bradford(white_from, white_to=D50):
+    """Adaptation between two whites given as X, Y, Z."""
     import numpy as np
 
     cone = np.array(BRADFORD)
-    xyz = lambda w: np.array([w[0] / w[1], 1.0, (1 - w[0] - w[1]) / w[1]])
-    gain = (cone @ xyz(white_to)) / (cone @ xyz(white_from))
+    gain = (cone @ np.array(white_to, float)) / (cone @ np.array(white_from, float))
     return tuple(tuple(float(v) for v in row) for row in np.linalg.inv(cone) @ np.diag(gain) @ cone)
 
 
@@ -110,3 +115,15 @@ def hue_table(h: str, s: str, v: str, divisions: tuple[int, int], table: list[tu
     turned = f"({h} + {mix(0)})"
     hue = f"(CASE WHEN {turned} < 0 THEN {turned} + 360 WHEN {turned} >= 360 THEN {turned} - 360 ELSE {turned} END)"
     return hue, f"least({s} * {mix(1)}, CAST(1 AS DOUBLE))", f"least({v} * {mix(2)}, CAST(1 AS DOUBLE))"
+
+
+def projected(source: str, expressions: list[str], names: str, keep: str = "image_id, y, x") -> str:
+    """SELECT of the kept columns and the named expressions from a source query."""
+    return f"SELECT {keep}, {', '.join(f'{e} AS {n}' for e, n in zip(expressions, names))} FROM ({source}) AS p_"
+
+
+def hue_chain(source: str, divisions: tuple[int, int], table: list[tuple[float, float, float]], get) -> str:
+    """X, Y, Z (columns r, g, b) through RIMM, hue, saturation and value, a table of these, and back; one projection a step."""
+    rimm = projected(source, matrix(row_normalised(XYZ_TO_RIMM)), "rgb")
+    turned = projected(projected(rimm, list(hsv()), "hsv"), list(hue_table("h", "s", "v", divisions, table, get)), "hsv")
+    return projected(projected(turned, list(rgb()), "rgb"), matrix(row_normalised(RIMM_TO_XYZ)), "rgb")

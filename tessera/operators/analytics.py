@@ -40,7 +40,7 @@ def pivot(df: DataFrame, strategies: list[str]) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Exact quartiles, and whiskers at the last values within 1.5 interquartile ranges."""
-    q = df.groupBy(key).agg(*(F.expr(f"percentile({value}, {p})").alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    q = df.groupBy(key).agg(F.expr(f"percentile({value}, array(0.25, 0.5, 0.75))").alias("q")).select(key, *(F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))))
     near = df.join(q, key).filter(f"{value} BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)")
     return near.groupBy(key).agg(*(F.round(F.first(c), 6).alias(c) for c in ("q1", "median", "q3")), F.min(value).alias("low"), F.max(value).alias("high"))
 
@@ -51,13 +51,30 @@ def ranked(df: DataFrame, column: str, order: list[str]) -> DataFrame:
     return df.withColumn("place", place).filter("place > 0")
 
 
-def latest_method(df: DataFrame) -> DataFrame:
-    """Each run's method: the one with the greatest id among its rows."""
-    return df.withColumn("run_method", F.max("method_id").over(Window.partitionBy("system_id", "run")))
+def latest_method(df: DataFrame, labels: dict[int, str] | None = None) -> DataFrame:
+    """Each run's method: the one with the greatest id among its rows, mapped back to its label if labels are given."""
+    out = df.withColumn("run_method", F.max("method_id").over(Window.partitionBy("system_id", "run")))
+    return out if not labels else out.withColumn("run_label", F.element_at(F.create_map(*(F.lit(x) for kv in labels.items() for x in kv)), F.col("run_method")))
+
+
+def accuracy_means(df: DataFrame, keys: tuple[str, ...] = ("alg", "dataset"), metrics: tuple[str, ...] = ("mse", "psnr", "mssim")) -> DataFrame:
+    """Means of the accuracy log's metrics by method and data set."""
+    return df.groupBy(*keys).agg(*(F.round(F.avg(m), 6).alias(m) for m in metrics))
+
+
+def deviation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Each row beside its group's mean, smallest and largest value."""
+    over = Window.partitionBy(*keys)
+    return df.withColumns({"group_mean": F.round(F.avg(value).over(over), 6), "group_min": F.min(value).over(over), "group_max": F.max(value).over(over)})
 
 
 def task_pairs(df: DataFrame) -> DataFrame:
-    """Start and end marks (system_id, task, ts, kind 'start' or 'end') to durations: a second start replaces the first, an end without a start is dropped, a start without an end stays open."""
+    """Marks (system_id, task, ts, kind 'start' or 'end') to measured tasks: system_id, task, restarted, start, end, duration.
+
+    A start while the task is open ends it and starts it anew (restarted); an end of what isn't open is dropped; an
+    open task ends with the system's last mark, as at the end of a run. Marks of one time keep ends before starts.
+    """
     w = Window.partitionBy("system_id", "task").orderBy("ts", "kind")
-    nxt = df.withColumns({"next_kind": F.lead("kind").over(w), "next_ts": F.lead("ts").over(w)})
-    return nxt.filter("kind = 'start' AND (next_kind = 'end' OR next_kind IS NULL)").select("system_id", "task", F.col("ts").alias("start"), F.col("next_ts").alias("end"), (F.col("next_ts") - F.col("ts")).alias("duration"))
+    run = Window.partitionBy("system_id")
+    seen = df.withColumns({"before": F.lag("kind").over(w), "end": F.coalesce(F.lead("ts").over(w), F.max("ts").over(run))})
+    return seen.filter("kind = 'start'").select("system_id", "task", F.coalesce(F.col("before") == "start", F.lit(False)).alias("restarted"), F.col("ts").alias("start"), "end", (F.col("end") - F.col("ts")).alias("duration"))

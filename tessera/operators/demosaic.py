@@ -92,8 +92,11 @@ def _grouped(d: Dialect):
 
 
 METHODS = {"NONE": _none, "NEAREST_NEIGHBOR": _nearest, "BILINEAR_MEAN": _mean, "BILINEAR_MEDIAN": _median, "MALVAR_HE_CUTLER": _linear, "HAMILTON_ADAMS": _edge_directed, "PPG": _grouped}
-#: Pixels at the border that metrics leave out.
-MARGIN = {"NONE": 0, "NEAREST_NEIGHBOR": 2, "BILINEAR_MEAN": 2, "BILINEAR_MEDIAN": 2, "MALVAR_HE_CUTLER": 2, "HAMILTON_ADAMS": 4, "PPG": 4}
+#: Pixels at the border that metrics leave out, by method.
+MARGIN = {
+    "NONE": 0, "NEAREST_NEIGHBOR": 2, "BILINEAR_MEAN": 2, "BILINEAR_MEDIAN": 2, "BICUBIC": 4, "MALVAR_HE_CUTLER": 2, "HAMILTON_ADAMS": 4, "PPG": 4,
+    "RCD": 10, "DLMMSE_CODE": 12, "DLMMSE_PAPER": 12, "DLMMSE_RCD_CODE": 14, "DLMMSE_RCD_PAPER": 14,
+}
 
 
 def _steps(method: str, pattern: str, d: Dialect):
@@ -105,12 +108,13 @@ def _steps(method: str, pattern: str, d: Dialect):
     return names, ["*", f"{g} AS g"], extra["then"], final
 
 
-def demosaic(plane: DataFrame, method: str, pattern: str = "RGGB") -> DataFrame:
+def demosaic(plane: DataFrame, method: str, pattern: str = "RGGB", carry: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, y, x, r, g, b, and the columns to carry, which ride along."""
     names, first, then, final = _steps(method, pattern, SPARK)
     df = neighbours(plane, {"s": names})
     if first:
         df = neighbours(df.selectExpr(*first).selectExpr("*", "s - g AS k"), then)
-    return df.selectExpr(*final)
+    return df.selectExpr(*final, *carry)
 
 
 def demosaic_sql(source: str, method: str, pattern: str, d: Dialect) -> str:

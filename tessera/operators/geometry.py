@@ -18,6 +18,12 @@ def margin(df: DataFrame, border: int, height: int, width: int) -> DataFrame:
     return df.filter(f"x >= {border} AND x < {width - border} AND y >= {border} AND y < {height - border}")
 
 
+def inner(df: DataFrame, border: int) -> DataFrame:
+    """Without a border on each side of every image, whose sizes come from its own largest coordinates (one row an image)."""
+    size = df.groupBy("image_id").agg(F.max("y").alias("bottom_"), F.max("x").alias("right_"))
+    return df.join(size, "image_id").filter(f"x >= {border} AND x <= right_ - {border} AND y >= {border} AND y <= bottom_ - {border}").drop("bottom_", "right_")
+
+
 def rotate(df: DataFrame, degrees: int) -> DataFrame:
     """Clockwise by 0, 90, 180 or 270 degrees. Sizes come from each image's own largest coordinates."""
     if degrees % 360 == 0:

@@ -80,8 +80,8 @@ def rcd_greens(s: np.ndarray, green: np.ndarray, xy: np.ndarray) -> np.ndarray:
     return np.where(green, s, part * _blend(w, e, w_value, e_value) + (1 - part) * _blend(n, so, n_value, s_value))
 
 
-def rcd_colours(s: np.ndarray, cfa: np.ndarray, g: np.ndarray, xy: np.ndarray, pq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Red and blue from greens: first at blue and red, then at green, each step from the one before alone."""
+def rcd_opposite(s: np.ndarray, g: np.ndarray, pq: np.ndarray) -> np.ndarray:
+    """The other of red and blue, at blue and red."""
     part = _farther(pq)
 
     def corner(dy, dx):
@@ -90,19 +90,39 @@ def rcd_colours(s: np.ndarray, cfa: np.ndarray, g: np.ndarray, xy: np.ndarray, p
         return slope, one - at(g, dy, dx)
 
     (nw, nw_value), (se, se_value), (ne, ne_value), (sw, sw_value) = corner(-1, -1), corner(1, 1), corner(-1, 1), corner(1, -1)
-    other = g + (1 - part) * _blend(nw, se, nw_value, se_value) + part * _blend(ne, sw, ne_value, sw_value)
-    part, out = _farther(xy), []
+    return g + (1 - part) * _blend(nw, se, nw_value, se_value) + part * _blend(ne, sw, ne_value, sw_value)
+
+
+def rcd_at_green(c: np.ndarray, g: np.ndarray, xy: np.ndarray) -> np.ndarray:
+    """A colour that is known at red and blue, at green."""
+    part = _farther(xy)
+
+    def side(dy, dx):
+        one = at(c, dy, dx)
+        return EPS + np.abs(g - at(g, 2 * dy, 2 * dx)) + np.abs(one - at(c, -dy, -dx)) + np.abs(one - at(c, 3 * dy, 3 * dx)), one - at(g, dy, dx)
+
+    (n, n_value), (so, s_value), (w, w_value), (e, e_value) = side(-1, 0), side(1, 0), side(0, -1), side(0, 1)
+    return g + (1 - part) * _blend(n, so, n_value, s_value) + part * _blend(w, e, w_value, e_value)
+
+
+def rcd_colours(s: np.ndarray, cfa: np.ndarray, g: np.ndarray, xy: np.ndarray, pq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Red and blue from greens: first at blue and red, then at green, each step from the one before alone."""
+    other, out = rcd_opposite(s, g, pq), []
     for letter, opposite in (("R", "B"), ("B", "R")):
         c = np.where(cfa == letter, s, np.where(cfa == opposite, other, 0.0))
+        out.append(np.where(cfa == "G", rcd_at_green(c, g, xy), c))
+    return out[0], out[1]
 
-        def side(dy, dx, c=c):
-            one = at(c, dy, dx)
-            return EPS + np.abs(g - at(g, 2 * dy, 2 * dx)) + np.abs(one - at(c, -dy, -dx)) + np.abs(one - at(c, 3 * dy, 3 * dx)), one - at(g, dy, dx)
 
-        (n, n_value), (so, s_value), (w, w_value), (e, e_value) = side(-1, 0), side(1, 0), side(0, -1), side(0, 1)
-        at_green = g + (1 - part) * _blend(n, so, n_value, s_value) + part * _blend(w, e, w_value, e_value)
-        out.append(np.where(cfa == "G", at_green, c))
-    return out[0], out[1]
+def four_mean(a: np.ndarray, diagonal: bool) -> np.ndarray:
+    """Mean of the four neighbours on the diagonals or on the axes."""
+    return sum(at(a, *k) for k in (((-1, -1), (-1, 1), (1, -1), (1, 1)) if diagonal else ((-1, 0), (1, 0), (0, -1), (0, 1)))) / 4
+
+
+def moments(f: np.ndarray, d: np.ndarray, vertical: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over the nine places from 4 before to 4 after: the sum of f, of its squares, and of the squares of f - d."""
+    step = [(k, 0) if vertical else (0, k) for k in range(-4, 5)]
+    return sum(at(f, *k) for k in step), sum(at(f, *k) ** 2 for k in step), sum((at(f, *k) - at(d, *k)) ** 2 for k in step)
 
 
 def lmmse_greens(s: np.ndarray, green: np.ndarray, window_mean: bool) -> np.ndarray:
@@ -111,10 +131,8 @@ def lmmse_greens(s: np.ndarray, green: np.ndarray, window_mean: bool) -> np.ndar
     for vertical in (False, True):
         d = np.where(green, 1, -1) * (s - _along(s, _HALFWAY, vertical))
         f = _along(d, _SMOOTH, vertical)
-        step = [(k, 0) if vertical else (0, k) for k in range(-4, 5)]
-        total = sum(at(f, *k) for k in step)
-        power = sum(at(f, *k) ** 2 for k in step) / 8 - total**2 / 72
-        noise = sum((at(f, *k) - at(d, *k)) ** 2 for k in step) / 9 + EPS
+        total, squares, apart = moments(f, d, vertical)
+        power, noise = squares / 8 - total**2 / 72, apart / 9 + EPS
         mean, gain = (total / 9 if window_mean else f), power / (power + noise)
         found.append((mean + gain * (d - mean), power - gain * power + EPS))
     (h, h_error), (v, v_error) = found
@@ -124,13 +142,11 @@ def lmmse_greens(s: np.ndarray, green: np.ndarray, window_mean: bool) -> np.ndar
 def _lmmse(s, cfa, window_mean):
     green = cfa == "G"
     g = lmmse_greens(s, green, window_mean)
-    corners = lambda a: (at(a, -1, -1) + at(a, -1, 1) + at(a, 1, -1) + at(a, 1, 1)) / 4
-    axes = lambda a: (at(a, -1, 0) + at(a, 1, 0) + at(a, 0, -1) + at(a, 0, 1)) / 4
     out = []
     for letter in "RB":
         gap = np.where(cfa == letter, g - s, 0.0)
-        gap = np.where(green | (cfa == letter), gap, corners(gap))
-        out.append(g - np.where(green, axes(gap), gap))
+        gap = np.where(green | (cfa == letter), gap, four_mean(gap, True))
+        out.append(g - np.where(green, four_mean(gap, False), gap))
     return out[0], g, out[1]
 
 

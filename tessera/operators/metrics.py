@@ -45,3 +45,24 @@ def rgb_histogram(image: DataFrame) -> DataFrame:
     """channel, bin (0..255), n: one pass, three rows a pixel that are summed where they are."""
     channels = image.selectExpr("stack(3, 'r', r, 'g', g, 'b', b) AS (channel, v)")
     return channels.groupBy("channel", F.expr("CAST(v / CAST(65535 AS DOUBLE) * 255 AS INT)").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def summary(pair: DataFrame) -> DataFrame:
+    """On the 0..1 scale, over channels: largest difference, mean squared error, its root and PSNR; the first three also times 255 as they are shown."""
+    out = mse_psnr(pair).selectExpr("greatest(max_r, max_g, max_b) / CAST(65535 AS DOUBLE) AS top", "(mse_r + mse_g + mse_b) / 3 / (CAST(65535 AS DOUBLE) * 65535) AS mse", "psnr")
+    return out.selectExpr("round(top, 9) AS largest", "round(mse, 9) AS mse", "round(sqrt(mse), 9) AS rmse", "psnr", "round(255 * top, 6) AS largest_255", "round(255 * 255 * mse, 6) AS mse_255", "round(255 * sqrt(mse), 6) AS rmse_255")
+
+
+def bucket_shares(pair: DataFrame, channel: str, bits: int = 12) -> DataFrame:
+    """The difference histogram with each bucket's share of all cells and its share of differing ones, in %."""
+    counted = histogram_report(pair, channel, bits)  # some buckets alone
+    return counted.selectExpr("bucket", "n", "round(100 * n / sum(n) OVER (), 6) AS share", "round(100 * differing / n, 6) AS percent", "largest", "mse")
+
+
+def scaled_differences(pair: DataFrame, names: str = "rgb") -> DataFrame:
+    """Absolute differences of all channels, and these divided by the largest of the image (0 where all are equal)."""
+    gap = {f"d_{c}": F.abs(F.col(f"a_{c}") - F.col(f"b_{c}")) for c in names}
+    apart = pair.select(*KEYS, *(v.alias(k) for k, v in gap.items()))
+    top = apart.groupBy("image_id").agg(F.max(F.greatest(*gap)).alias("top"))  # a row an image, summed up where the rows are
+    scaled = apart.join(F.broadcast(top), "image_id")
+    return scaled.select(*KEYS, *gap, *(F.round(F.coalesce(F.try_divide(F.col(k).cast("double"), F.col("top")), F.lit(0.0)), 9).alias(f"s_{k[2:]}") for k in gap))

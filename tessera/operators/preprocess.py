@@ -35,7 +35,7 @@ def black_level(levels: Levels) -> str:
 
 
 def raw_map(levels: Levels, d: Dialect, s: str = "s") -> str:
-    """Linearised, black level off, scaled to the white level, clamped to 0..65535."""
+    """Linearised, black level off, scaled by what is left up to the white level there, clamped to 0..65535."""
     value = _entry(levels.table, s, d) if levels.table else s
     top, left, bottom, right = levels.active
     inside = f"y >= {top} AND y < {bottom} AND x >= {left} AND x < {right}"
@@ -46,7 +46,7 @@ def raw_map(levels: Levels, d: Dialect, s: str = "s") -> str:
     if levels.delta_columns:
         within.append(_entry(levels.delta_columns, f"greatest(0, x - {left})", d))
     black = f"(CASE WHEN {inside} THEN {' + '.join(within)} ELSE {first} END)"
-    return d.sample(f"(({value} - {black}) / (CAST({float(levels.white)!r} AS DOUBLE) - {first}) * 65535)")
+    return d.sample(f"(({value} - {black}) / (CAST({float(levels.white)!r} AS DOUBLE) - {black}) * 65535)")
 
 
 def white_balance(gains: dict[str, float], pattern: str, d: Dialect, s: str = "s") -> str:

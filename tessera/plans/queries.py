@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions import color
+from ..functions import color, matrices
 from ..functions.dialect import OTHER, SPARK, Dialect
 from ..operators import analytics, demosaic, geometry, metrics, preprocess, stencil
 from ..sources import planes
@@ -94,11 +94,15 @@ _EDGE = f"x >= 2 AND x < 98 AND y >= 2 AND y < (SELECT max(y) - 1 FROM ({PLANE})
 _PAIR = f"SELECT t.image_id, t.y, t.x, a.r AS a_r, a.g AS a_g, a.b AS a_b, t.r AS b_r, t.g AS b_g, t.b AS b_b FROM ({_DONE}) AS a JOIN ({TRUTH}) AS t ON a.image_id = t.image_id AND a.y = t.y AND a.x = t.x WHERE t.x >= 2 AND t.x < 98 AND t.y >= 2 AND t.y < (SELECT max(y) - 1 FROM ({PLANE}) AS q)"
 
 
+def beside_truth(spark: SparkSession, sf_dir: str, method: str = "BILINEAR_MEAN") -> DataFrame:
+    """The rendering a_r, a_g, a_b beside the truth b_r, b_g, b_b, which rides along the windows instead of being joined."""
+    sample = planes.by_pattern([c.lower() for c in planes.CFA["RGGB"]])
+    plane = planes.truth(spark, sf_dir).selectExpr("image_id", "y", "x", f"{sample} AS s", *(f"{c} AS b_{c}" for c in "rgb"))
+    return demosaic.demosaic(plane, method, carry=("b_r", "b_g", "b_b")).withColumnsRenamed({c: f"a_{c}" for c in "rgb"})
+
+
 def pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    truth = planes.truth(spark, sf_dir)
-    rows = truth.agg({"y": "max"}).first()[0] + 1
-    made = demosaic.demosaic(planes.mosaic(truth), "BILINEAR_MEAN")
-    return metrics.paired(geometry.margin(made, 2, rows, 100), geometry.margin(truth, 2, rows, 100))
+    return geometry.inner(beside_truth(spark, sf_dir), 2)
 
 
 _D = "abs(a_g - b_g)"
@@ -134,13 +138,15 @@ def _chain(name: str, names: str, expressions: Callable[[Dialect], list[str]], b
     both(name, text, "orders")
 
 
-_TO_XYZ = color.matrix(color.row_normalised(color.SRGB_TO_XYZ))
+#: A camera's matrix to XYZ (D50), as its tags would give it.
+CAMERA = [[float(v) for v in row] for row in matrices.camera_to_xyz(matrices.ColorTags(color1=[1.0234, -0.2969, -0.0664, -0.4478, 1.2148, 0.2661, -0.0617, 0.1434, 0.6812], color2=[0.9602, -0.2984, -0.0407, -0.3823, 1.1495, 0.2632, -0.0461, 0.1182, 0.6284], neutral=[0.5224, 1.0, 0.6737], cct1=2856, cct2=6504))[0]]
+_TO_XYZ = color.matrix(CAMERA)
 _HSV = "SELECT image_id, y, x, " + ", ".join(f"{e} AS {n}" for e, n in zip(color.hsv(), "hsv")) + " FROM ({}) AS hsv_"
 
 
-def _get(d: Dialect):
+def _get(d: Dialect, table: list[tuple[float, float, float]] = TABLE):
     def get(channel: int, index: str) -> str:
-        items = ", ".join(f"CAST({row[channel]!r} AS DOUBLE)" for row in TABLE)
+        items = ", ".join(f"CAST({row[channel]!r} AS DOUBLE)" for row in table)
         return f"element_at(array({items}), CAST({index} AS INT) + 1)" if d.spark else f"list_extract([{items}], CAST({index} AS INT) + 1)"
 
     return get
@@ -150,9 +156,9 @@ _chain("color_matrix", "r g b", lambda d: _TO_XYZ)
 _chain("exposure", "r g b", lambda d: [color.exposure(c, "CAST(0.35 AS DOUBLE)") for c in "rgb"])
 _chain("rgb_to_hsv", "h s v", lambda d: list(color.hsv()))
 _chain("hsv_to_rgb", "r g b", lambda d: list(color.rgb()), lambda d: _HSV)
-_chain("hsv_map", "h s v", lambda d: list(color.hue_table("h", "s", "v", (6, 4), TABLE, _get(d))), lambda d: _HSV)
-_LOOK = lambda d: "SELECT image_id, y, x, " + ", ".join(f"{e} AS {n}" for e, n in zip(color.hue_table("h", "s", "v", (6, 4), TABLE, _get(d)), "hsv")) + f" FROM ({_HSV}) AS look_"
-_chain("look_table", "r g b", lambda d: list(color.rgb()), _LOOK)
+LOOK = [(float(k - i), 1.0 + 0.03 * k, 0.95 + 0.01 * i) for i in range(6) for k in range(4)]
+_chain("hsv_map", "r g b", lambda d: list("rgb"), lambda d: color.hue_chain("{}", (6, 4), TABLE, _get(d)))
+_chain("look_table", "r g b", lambda d: list("rgb"), lambda d: color.hue_chain("{}", (6, 4), LOOK, _get(d, LOOK)))
 _chain("tone_curve", "r g b", lambda d: [color.tone_curve(c, CURVE) for c in "rgb"])
 _chain("srgb_gamma", "r g b", lambda d: [color.srgb_gamma(c) for c in "rgb"])
 _chain("cct", "t", lambda d: [color.cct("(r / 4 + CAST(0.2 AS DOUBLE))", "(g / 4 + CAST(0.2 AS DOUBLE))")])
@@ -164,7 +170,7 @@ def _developed(d: Dialect) -> str:
     unit = _UNIT.format(demosaic.demosaic_sql(source, "MALVAR_HE_CUTLER", "RGGB", d))
     lit = f"SELECT image_id, y, x, {', '.join(f'{color.exposure(e, repr(0.25))} AS {c}' for c, e in zip('rgb', _TO_XYZ))} FROM ({unit}) AS t2"
     toned = f"SELECT image_id, y, x, {', '.join(f'{color.tone_curve(c, CURVE)} AS {c}' for c in 'rgb')} FROM ({lit}) AS t3"
-    back = color.matrix(color.inverse(color.row_normalised(color.SRGB_TO_XYZ)))
+    back = color.matrix(color.to_srgb())
     linear = f"SELECT image_id, y, x, {', '.join(f'{e} AS {c}' for c, e in zip('rgb', back))} FROM ({toned}) AS t4"
     return f"SELECT image_id, y, x, {', '.join('CAST(' + d.div(d.int(f'round({color.srgb_gamma(c)} * 65535, 3)'), '4') + f' AS INT) AS {c}' for c in 'rgb')} FROM ({linear}) AS t5"
 
@@ -229,15 +235,6 @@ def _predictor(d: Dialect) -> str:
 both("ljpeg_predictor", _predictor, "orders")
 
 
-def _bytes(d: Dialect) -> str:
-    """Unsigned 16-bit numbers of both byte orders from the first two bytes of each page's URL."""
-    at = (lambda k: f"ascii(substring(url, {k}, 1))") if d.spark else (lambda k: f"ord(substring(url, {k}, 1))")
-    return f"SELECT page_id, CAST({at(1)} * 256 + {at(2)} AS INT) AS big, CAST({at(2)} * 256 + {at(1)} AS INT) AS little FROM pages"
-
-
-both("u16_endian", _bytes, "pages")
-
-
 # Wide kernels in tile form: no SQL says them in reasonable length; tests hold them against other forms.
 def _tile_queries() -> None:
     from ..operators import kernels, tiles
@@ -245,15 +242,10 @@ def _tile_queries() -> None:
     mosaicked = lambda spark, sf_dir: planes.mosaic(planes.truth(spark, sf_dir))
     for method in kernels.KERNELS:
         QUERIES[f"demosaic_{method.lower()}"] = lambda spark, sf_dir, m=method: tiles.demosaic(mosaicked(spark, sf_dir), m)
-    for name, key in (("rcd_xy_gradient", "xy_gradient"), ("rcd_pq_gradient", "pq_gradient"), ("rcd_greens", "greens")):
-        QUERIES[name] = lambda spark, sf_dir, k=key: tiles.stage(mosaicked(spark, sf_dir), k)
-
-    def mssim(spark: SparkSession, sf_dir: str) -> DataFrame:
-        truth = planes.truth(spark, sf_dir)
-        rows = truth.agg({"y": "max"}).first()[0] + 1
-        return tiles.mssim(metrics.paired(demosaic.demosaic(planes.mosaic(truth), "BILINEAR_MEAN"), truth), 2, rows, 100)
-
-    QUERIES["metric_mssim"] = mssim
+    for name, key in (("rcd_xy_gradient", "xy_gradient"), ("rcd_pq_gradient", "pq_gradient"), ("rcd_greens", "greens"), ("rcd_opposite", "opposite")):
+        QUERIES[name] = lambda spark, sf_dir, k=key: tiles.stage(mosaicked(spark, sf_dir), k).selectExpr("image_id", "y", "x", "round(v, 6) AS v")
+    QUERIES["rcd_colours"] = lambda spark, sf_dir: tiles.stage(mosaicked(spark, sf_dir), "colours").selectExpr("image_id", "y", "x", "round(r, 6) AS r", "round(b, 6) AS b")
+    QUERIES["metric_mssim"] = lambda spark, sf_dir: tiles.mssim(beside_truth(spark, sf_dir), 2)
     QUERIES["tile_lowpass"] = lambda spark, sf_dir: tiles.stage(planes.plane(spark, sf_dir), "lowpass").withColumnRenamed("v", "f")
     ORACLE_SQL["tile_lowpass"] = ORACLE_SQL["lowpass_3x3"]
 

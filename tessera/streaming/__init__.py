@@ -1 +1 @@
-"""See the README for what lives here."""
+"""Logs and files as they come: task marks paired by keyed state, append-only logs, folders that are listed again and again."""

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from tessera.plans.queries import ORACLE_SQL, QUERIES
+from tessera.plans.more import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
