@@ -39,7 +39,7 @@ ROUNDS = 2
 ROUND_PAIRS = 50_000
 #: Hashes of sets that a kernel handles at once.
 SLICE_HASHES = 1 << 18
-#: Hubs of a place in the first round for members left apart; each round has so many times the hubs of the one before.
+#: Members left apart get about one hub a place at first; each round has so many times the hubs of the one before.
 MORE_HUBS = 16
 _FACTORS = np.random.default_rng(11).integers(1, 1 << 63, 65, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WORD = ~SPACE
@@ -212,7 +212,7 @@ def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
     met = _meetings(sets, own, scratch)
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
     known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known-0")
-    rest, share, k = met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos"), MORE_HUBS, 0
+    rest, share, k = met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos"), 1, 0
     fps = sets.select("uid", "fp")
     while True:
         # Members of one place that are in different components by now; pairs that were hub and member are settled.
