@@ -165,6 +165,18 @@ def _may(a_n: str, a_pos: str, b_n: str, b_pos: str) -> str:
     return f"5 * least({a_n}, {b_n}) >= 4 * greatest({a_n}, {b_n}) AND 9 * least({a_n} - {a_pos}, {b_n} - {b_pos}) >= 4 * ({a_n} + {b_n})"
 
 
+def _unlike(p: str, q: str) -> str:
+    """In how many classes of hashes two sets' parities differ."""
+    return f"aggregate(zip_with({p}, {q}, (v, w) -> bit_count(v ^ w)), 0, (s, v) -> s + v)"
+
+
+def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs x, y (uids) whose parities allow a similarity of 4/5: no other is worth the shuffle of its whole sets."""
+    side = lambda k: sets.select(F.col("uid").alias(k), F.col("n").alias(f"n_{k}"), F.col("parities").alias(f"odd_{k}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    return both.filter(f"9 * {_unlike('odd_x', 'odd_y')} <= n_x + n_y").select("x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled, in rounds by x's hash."""
     pairs, paths = scratch.keep(pairs, f"{name}-pairs"), []
@@ -211,7 +223,7 @@ def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
     equal = some.join(own.select("d0", "d1", "own_fp"), ["d0", "d1"]).filter("fp <> own_fp").select(F.col("fp").alias("a"), F.col("own_fp").alias("b")).distinct()
     met = _meetings(sets, own, scratch)
     first = met.filter("uid <> hub.uid").filter(_may("n", "pos", "hub.n", "hub.pos")).select(F.col("hub.uid").alias("x"), F.col("uid").alias("y")).distinct()
-    known = scratch.keep(equal.unionByName(_verified(first, sets, scratch, "hub-links")).distinct(), "known-0")
+    known = scratch.keep(equal.unionByName(_verified(_allowed(first, sets), sets, scratch, "hub-links")).distinct(), "known-0")
     rest, share, k = met.filter("m > 2 AND uid <> hub.uid").select("h", "uid", "n", "pos"), 1, 0
     fps = sets.select("uid", "fp")
     while True:
@@ -226,9 +238,8 @@ def set_links(sets: DataFrame, scratch: Scratch, components) -> DataFrame:
             break
         # What differs in more classes than sets of similarity 4/5 may differ in shingles isn't a pair.
         left = scratch.keep(left.join(sets.select("uid", "parities"), "uid"), f"held-{k}")
-        unlike = "aggregate(zip_with(p.parities, q.parities, (x, y) -> bit_count(x ^ y)), 0, (s, v) -> s + v)"
         hubs = left.filter(F.expr(f"pmod(xxhash64(uid, h), greatest(1, m div {share})) = 0"))
-        near = hubs.alias("p").join(left.alias("q"), "h").filter("p.root <> q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).filter(f"9 * {unlike} <= p.n + q.n")
+        near = hubs.alias("p").join(left.alias("q"), "h").filter("p.root <> q.root").filter(_may("p.n", "p.pos", "q.n", "q.pos")).filter(f"9 * {_unlike('p.parities', 'q.parities')} <= p.n + q.n")
         pairs = near.select(F.least("p.uid", "q.uid").alias("x"), F.greatest("p.uid", "q.uid").alias("y")).distinct()
         k += 1
         known = scratch.keep(known.unionByName(_verified(pairs, sets, scratch, f"links-{k}-")).distinct(), f"known-{k}")
