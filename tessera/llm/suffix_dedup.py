@@ -168,12 +168,12 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     shared = scratch.keep(blocks.join(twice, "h"), "shared")
     scratch.drop("blocks")
     contents = scratch.keep(shared.filter("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "text_key", "place"))).withColumn("block", F.monotonically_increasing_id()), "contents")
-    # A block of a mixed anchor meets its own content's count, one row for one.
-    counted = scratch.keep(shared.filter("mixed").join(contents.select("h", "c", "n"), ["h", "c"]).select("doc_id", "text_key", "place", "n"), "counted")
-    whole = shared.filter("NOT mixed").select("doc_id", "text_key", "place").unionByName(counted.filter("n > 1").drop("n"))
+    # Blocks of a mixed anchor are found again whole where their content is; a semi join keeps rows and never adds any.
+    again = shared.filter("mixed").join(contents.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    whole = shared.filter("NOT mixed").unionByName(again.select(*shared.columns))
     covering = (F.shiftright("place", 8) * 1024 + F.col("place").bitwiseAND(F.lit(255)) + match).alias("span")
     scratch.keep(whole.select("doc_id", "text_key", covering), "whole")
-    scratch.drop("shared", "twice", "counted")
+    scratch.drop("shared", "twice")
     release_shuffles(scratch.spark)
 
     # The bytes of one block of each content, from its document.
