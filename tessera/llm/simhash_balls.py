@@ -39,8 +39,8 @@ ROUNDS = 4
 ROUND_VALUES = 32 << 20
 #: Links that a task joins to a forest.
 TASK_LINKS = 250_000
-#: Values that meet in a bucket, about; and fingerprints that a task emits from.
-BUCKET_VALUES = 1 << 20
+#: Values that meet in a bucket, about (a payload names its fingerprints in each bucket, so fewer buckets shuffle less); and fingerprints that a task emits from.
+BUCKET_VALUES = 1 << 21
 TASK_PRINTS = 1000
 #: Rows that stand for classes are broadcast up to this many (some 100 bytes each); more are joined by a shuffle.
 KEPT_ROWS = 200_000
