@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 19
 #: Rows that a function over batches sees at once.
 BATCH_ROWS = 1000
+#: Bytes of a row group of tables between steps, about: a reading or writing task holds one whole, beside those of all other cores.
+ROW_GROUP_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,7 +62,7 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str, **options: str) -> DataFrame:
         """Writes df, with options of the writer, and reads it again."""
-        df.write.mode("overwrite").options(**options).parquet(self.path(name))
+        df.write.mode("overwrite").options(**({"parquet.block.size": str(ROW_GROUP_BYTES)} | options)).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:

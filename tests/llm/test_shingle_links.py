@@ -1,6 +1,8 @@
 import random
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from tessera.llm import shingle_links, simhash_balls
@@ -127,3 +129,15 @@ def test_hubs_in_rounds(spark, monkeypatch):
     want, _ = brute_kept(rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert {r.doc_id for r in simhash_balls.keep_first(df, words=WORDS, similar_sets=True).collect()} == want
+
+
+def test_row_groups_of_tables(spark, tmp_path):
+    """A task holds a whole row group, so that those of written sets stay small, however long the sets."""
+    texts = [" ".join(f"{k}x{j}" for j in range(12000)) for k in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    scratch = Scratch(spark, "groups")
+    scratch.keep(shingle_links.sets_of(docs, "doc_id", "text", WORDS), "sets")
+    found = [pq.ParquetFile(f).metadata for f in Path(scratch.path("sets").removeprefix("file:")).glob("*.parquet")]
+    sizes = [m.row_group(k).total_byte_size for m in found for k in range(m.num_row_groups)]
+    scratch.close()
+    assert sum(sizes) > 20 << 20 and max(sizes) < 16 << 20
