@@ -79,6 +79,22 @@ def test_codecs():
     assert codecs.plain(b"\x01\x02\x03\x04", 1, 2, 16, True).tolist() == [[513, 1027]] and codecs.plain(b"\x01\x02\x03\x04", 1, 2, 16, False).tolist() == [[258, 772]]
 
 
+def test_large_lossless_frames(spark):
+    """More lines, or samples in a line, than a frame's fields name, in one strip; and more samples than are coded at once."""
+    rng = np.random.default_rng(8)
+    for shape, parts in (((70001, 2), 1), ((70001, 2), 2), ((2, 65537), 1), ((3, 131074), 2), ((65535, 1), 1), ((1100, 1000), 1)):
+        s = rng.integers(0, 1 << 16, shape)
+        image = s.reshape(*shape, 1)
+        data = codecs.to_lossless_jpeg(s, parts)
+        lines, samples = struct.unpack_from(">HH", data, data.index(b"\xff\xc3") + 5)
+        assert lines * samples * parts >= s.size
+        block = container.image_directory(image, encode=lambda block, p=parts: codecs.to_lossless_jpeg(block.reshape(len(block), -1), p), compression=codecs.LOSSLESS_JPEG)
+        assert (container.raw_image(container.build("<", [block]))[0] == image).all()
+    plane = spark.range(70001).selectExpr("0 AS image_id", "CAST(id AS int) AS y", "0 AS x", "CAST(id * 7919 % 65536 AS int) AS s")
+    back = container.read_planes(container.written(plane, "tall", components=1))
+    assert back.count() == 70001 and back.filter("s <> y * 7919L % 65536").isEmpty()
+
+
 def test_png_filters():
     rng = np.random.default_rng(5)
     image = rng.integers(0, 256, (5, 4, 3)).astype(np.uint8)
