@@ -177,9 +177,30 @@ def _allowed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter(f"9 * {_unlike('odd_x', 'odd_y')} <= n_x + n_y").select("x", "y")
 
 
+def _counted(pairs: DataFrame, asked: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs x, y whose numbers of shingles in each class of hashes allow a similarity of 4/5. Where sets are long, parities say little and these much."""
+
+    def run(batch):
+        for a, b in ranges(np.diff(batch.column(2).offsets.to_numpy()).tolist(), SLICE_HASHES):
+            part = batch.slice(a, b - a)
+            h, n = _values(part.column(2))
+            place = np.repeat(np.arange(len(n)), n) * PARITIES + (h & np.uint64(PARITIES - 1)).astype(np.int64)
+            # Numbers that don't fit are cut, which lets the difference only seem smaller.
+            held = np.minimum(np.bincount(place, minlength=len(n) * PARITIES), 127).astype(np.int8)
+            yield {"uid": part.column(0), "n": part.column(1), "held": pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * PARITIES, pa.int32()), pa.array(held))}
+
+    counts = map_batches(sets.select("uid", "n", "hashes").join(asked, "uid", "left_semi"), run, "uid bigint, n int, held array<tinyint>")
+    side = lambda k: counts.select(F.col("uid").alias(k), F.col("n").alias(f"n_{k}"), F.col("held").alias(f"held_{k}"))
+    apart = "aggregate(zip_with(held_x, held_y, (v, w) -> abs(v - w)), 0, (s, v) -> s + v)"
+    return pairs.join(side("x"), "x").join(side("y"), "y").filter(f"9 * {apart} <= n_x + n_y").select("x", "y")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Fingerprints a, b of the pairs x, y (uids) whose sets are similar, as a table. Only sets that are in a pair are shuffled, in rounds by x's hash."""
-    pairs, paths = scratch.keep(pairs, f"{name}-pairs"), []
+    found, paths = scratch.keep(pairs, f"{name}-found"), []
+    asked = scratch.keep(found.select(F.explode(F.array("x", "y")).alias("uid")).distinct(), f"{name}-asked")
+    pairs = scratch.keep(_counted(found, few(asked, BROADCAST_IDS), sets), f"{name}-pairs")
+    scratch.drop(f"{name}-found", f"{name}-asked")
     if pairs.isEmpty():
         return pairs.select(F.col("x").alias("a"), F.col("y").alias("b"))
     rounds = ROUNDS if pairs.count() > ROUND_PAIRS else 1
@@ -200,6 +221,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, name: str) ->
 def _meetings(sets: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     """A table h, uid, n, pos, m, hub (uid, n, pos): the places that two sets or more share, with their members, how many, and the smallest one."""
     ids, classes = own.select("uid"), frequency_classes(sets)
+    release_shuffles(sets.sparkSession)
     if own.count() <= BROADCAST_IDS:  # sets that repeat another needn't be sent to Python at all
         rows = prefixes(sets.join(F.broadcast(ids), "uid", "left_semi"), classes)
     else:
@@ -207,6 +229,7 @@ def _meetings(sets: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.keep(rows.select("h", "uid", "n", "pos"), "prefix")
     # Written, so that the join shuffles both its sides itself and Spark can split a frequent shingle.
     places = scratch.keep(rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("n", "uid", "pos")).alias("hub")).filter("m > 1"), "places")
+    release_shuffles(sets.sparkSession)
     met = scratch.keep(rows.join(places, "h"), "met")
     scratch.drop("prefix", "places")
     release_shuffles(sets.sparkSession)

@@ -1,12 +1,12 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints differ in at most 2h bits just if some third value is within h bits of both. So each distinct
-fingerprint emits all values within h bits of itself; values meet in buckets, where equal ones are deduplicated and
-the fingerprints behind them verified. Fingerprints that share a value are all linked to one another, so that a chain
+fingerprint goes to the buckets of all values within h bits of itself, which find the values anew; equal ones meet there,
+and the fingerprints behind them are verified. Fingerprints that share a value are all linked to one another, so that a chain
 through them loses no class; each bucket sends on a forest of its links alone. Classes come from the forests of tasks
 with a bounded number of links each, which alternating large-star and small-star steps over tables join.
 
-Emission is dealt in rounds by the value's hash, so that the shuffle on disk at one time is a part of the whole; a
+Emission is dealt in rounds by parities of the value, so that the shuffle on disk at one time is a part of the whole; a
 small one needs a single round.
 
 A null or empty text has no words: its fingerprint is 0 and links like any other. Rows are documents, repeated rows
@@ -39,8 +39,9 @@ ROUNDS = 4
 ROUND_VALUES = 32 << 20
 #: Links that a task joins to a forest.
 TASK_LINKS = 250_000
-#: Values that meet in a bucket, about (a payload names its fingerprints in each bucket, so fewer buckets shuffle less); and fingerprints that a task emits from.
+#: Values that meet in a bucket, about; buckets of a round at least; and fingerprints that a task emits from.
 BUCKET_VALUES = 1 << 21
+LEAST_BUCKETS = 64
 TASK_PRINTS = 1000
 #: Rows that stand for classes are broadcast up to this many (some 100 bytes each); more are joined by a shuffle.
 KEPT_ROWS = 200_000
@@ -88,35 +89,41 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(c) for r in range(radius + 1) for c in combinations(one, r)], np.uint64)
 
 
-#: Fixed random bits: the parities of a value under them say its round, so that a round's values come from a part of the ball that depends on the fingerprint's own parities.
-_PARITY = np.random.default_rng(7).integers(0, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Fixed random bits: the parities of a value under them say its cell (round and bucket). A value is a print with a mask of the ball laid over it, so its cell is the print's cell with the mask's laid over it, and a bucket can find its own values from the prints alone.
+_PARITY = np.random.default_rng(7).integers(0, 1 << 63, 32, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _round_of(values: np.ndarray, rounds: int) -> np.ndarray:
+def _cell_of(values: np.ndarray, cells: int) -> np.ndarray:
     out = np.zeros(len(values), np.int64)
-    for k in range(rounds.bit_length() - 1):
+    for k in range(cells.bit_length() - 1):
         out |= (np.bitwise_count(values & _PARITY[k]) & 1).astype(np.int64) << k
     return out
 
 
 def _emit(prints: np.ndarray, ball: np.ndarray, round_: int, rounds: int, buckets: int):
-    """(bucket, payload) of the values of one round. Payload: how many sources, the sources, how many values of each, 32 bits of each value."""
-    values, sources = [], []
-    of_print, of_ball = _round_of(prints, rounds), _round_of(ball, rounds)
-    for own in range(rounds):
-        at, part = np.flatnonzero(of_print == own), ball[of_ball == own ^ round_]
-        values.append(mixed(prints[at][:, None] ^ part[None, :]).reshape(-1))
-        sources.append(np.repeat(at.astype(np.int32), len(part)))
-    x, source = np.concatenate(values), np.concatenate(sources)
-    bucket = ((x >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((source, bucket.astype(np.uint16) if buckets < 1 << 16 else bucket))
-    tags, source = (x & np.uint64(0xFFFFFFFF)).astype("<u4")[order], source[order]
-    edge = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=buckets))])
-    for b in np.flatnonzero(np.diff(edge)).tolist():
-        a, z = edge[b], edge[b + 1]
-        n = np.bincount(source[a:z], minlength=len(prints))
-        used = np.flatnonzero(n)
-        yield b, b"".join((len(used).to_bytes(8, "little"), prints[used].astype("<u8").tobytes(), n[used].astype("<u2").tobytes(), tags[a:z].tobytes()))
+    """(bucket, payload) of the cells of one round, `buckets` of them or up to the next power of two. Payload: the cell, of how many, the prints with values there."""
+    cells = rounds << (buckets - 1).bit_length()
+    own, used = _cell_of(prints, cells), np.zeros(cells, bool)
+    used[_cell_of(ball, cells)] = True
+    for cell in range(round_, cells, rounds):
+        held = prints[used[own ^ cell]]
+        if len(held):
+            yield cell // rounds, np.array([cell, cells], "<u4").tobytes() + held.astype("<u8").tobytes()
+
+
+def _values_in(prints: np.ndarray, ball: np.ndarray, cell: int, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """32 bits of each value of the prints that lies in the cell, and whose it is."""
+    own, of_ball = _cell_of(prints, cells) ^ cell, _cell_of(ball, cells)
+    order, ball = np.argsort(own, kind="stable"), ball[np.argsort(of_ball, kind="stable")]
+    n = np.bincount(of_ball, minlength=cells)
+    first = np.cumsum(n) - n
+    tags, source = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    kinds, at = np.unique(own[order], return_index=True)
+    for kind, members in zip(kinds.tolist(), np.split(order, at[1:]) if len(order) else []):
+        part = ball[first[kind] : first[kind] + n[kind]]
+        tags.append((mixed(prints[members][:, None] ^ part[None, :]) & np.uint64(0xFFFFFFFF)).reshape(-1))
+        source.append(np.repeat(members, len(part)))
+    return np.concatenate(tags), np.concatenate(source)
 
 
 def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -134,15 +141,11 @@ def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _meet(payloads: list[bytes], ball: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a bucket: fingerprints and the least of their component in this bucket."""
-    prints, counts, tags = [], [], []
-    for p in payloads:
-        n = int.from_bytes(p[:8], "little")
-        prints.append(np.frombuffer(p, "<u8", n, 8))
-        counts.append(np.frombuffer(p, "<u2", n, 8 + 8 * n))
-        tags.append(np.frombuffer(p, "<u4", offset=8 + 10 * n))
+    cell, cells = np.frombuffer(payloads[0], "<u4", 2).tolist()
     # A fingerprint comes once, in one payload.
-    prints, counts, tags = np.concatenate(prints), np.concatenate(counts), np.concatenate(tags)
-    key = tags.astype(np.uint64) << np.uint64(32) | np.repeat(np.arange(len(prints), dtype=np.uint64), counts)
+    prints = np.concatenate([np.frombuffer(p, "<u8", offset=8) for p in payloads])
+    tags, source = _values_in(prints, ball, cell, cells)
+    key = tags << np.uint64(32) | source.astype(np.uint64)
     key.sort()
     tag, source = key >> np.uint64(32), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     pair = np.flatnonzero(tag[1:] == tag[:-1])
@@ -181,7 +184,7 @@ def links(nodes: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame
     ball, n = masks(radius // 2), nodes.count()
     rounds = min(ROUNDS, 1 << (max(1, -(-n * len(ball) // ROUND_VALUES)) - 1).bit_length())  # a power of two
     spark = nodes.sparkSession
-    buckets = max(1, -(-n * len(ball) // (BUCKET_VALUES * rounds)))
+    buckets = max(LEAST_BUCKETS, -(-n * len(ball) // (BUCKET_VALUES * rounds)))
     dealt = nodes.select("fp").repartition(max(1, -(-n // TASK_PRINTS)))
     paths = []
     for k in range(rounds):

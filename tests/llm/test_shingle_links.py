@@ -141,3 +141,26 @@ def test_row_groups_of_tables(spark, tmp_path):
     sizes = [m.row_group(k).total_byte_size for m in found for k in range(m.num_row_groups)]
     scratch.close()
     assert sum(sizes) > 20 << 20 and max(sizes) < 16 << 20
+
+
+def test_long_sets_that_differ_are_never_compared(spark):
+    """Long sets with a passage in common are told apart by counts, on which their whole sets needn't meet; similar ones stay a pair."""
+    rng = random.Random(9)
+    one, other = ([f"w{rng.randrange(10**9)}" for _ in range(6000)] for _ in range(2))
+    texts = [" ".join(one), " ".join(one[:300] + other), " ".join(edited(rng, one, 0.01)), " ".join(other)]
+    scratch = Scratch(spark, "counted")
+    sets = scratch.keep(shingle_links.sets_of(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1), "doc_id", "text", WORDS), "sets")
+    uid = {r.doc_id: r.uid for r in sets.select("doc_id", "uid").collect()}
+    pairs = spark.createDataFrame([(uid[a], uid[b]) for a in range(4) for b in range(a)], "x bigint, y bigint")
+    # Parities let all pass.
+    assert shingle_links._allowed(pairs, sets).count() == 6
+    got = shingle_links._counted(pairs, sets.select("uid"), sets).collect()
+    assert {frozenset((r.x, r.y)) for r in got} == {frozenset((uid[0], uid[2])), frozenset((uid[1], uid[3]))}
+    scratch.close()
+
+
+def test_bytes_of_emission():
+    """A print costs 8 bytes a bucket, not some for each of its values."""
+    prints, ball = np.random.default_rng(4).integers(0, 1 << 63, 1000, dtype=np.uint64), simhash_balls.masks(2)
+    sent = sum(len(p) for k in range(4) for _, p in simhash_balls._emit(prints, ball, k, 4, 64))
+    assert sent < 1000 * 8 * 4 * 64 * 1.01
