@@ -6,7 +6,9 @@ MATCH bytes, so that two equal ones stand side by side in the sorted order of su
 Most suffixes never reach the sort. Each start belongs to an anchor: the leftmost of the least hashes among the
 ANCHOR-byte strings inside its MATCH bytes, which equal starts share. Runs of starts with one anchor are blocks.
   * A block whose anchor string is found nowhere else has no repeated start.
-  * A block that is found again whole has repeated starts only.
+  * A block that is found again whole has repeated starts only. Where that happens within one slice of texts, as with a
+    line that a text repeats, the slice tells all its places itself and passes on one of them with their number, so
+    that rows grow with the slices a content lies in, not with its places.
   * The rest is sorted: one block of each content, start by start. The suffixes' leading tokens (the first 8 bytes,
     then a hash of those that follow up to MATCH) and places are range-partitioned by sampled splitters, each bucket
     is sorted by multikey quicksort and compared with its neighbours in order, and the first and last tokens of each
@@ -101,6 +103,16 @@ def blocks_of(pieces: list[bytes], match: int = MATCH, anchor: int = ANCHOR) ->
     return {"piece": piece[new], "first": first - at[piece[new]], "count": count, "anchor": place[new] - first, "h": h[place[new]], "c": c}
 
 
+def same_blocks(h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each pair of h and c, in order, and for each row how many have its pair."""
+    order = np.lexsort((c, h))
+    run = np.flatnonzero(np.concatenate([[True], (h[order[1:]] != h[order[:-1]]) | (c[order[1:]] != c[order[:-1]])])[: len(h)])
+    n = np.diff(np.append(run, len(h)))
+    of = np.empty(len(h), np.int64)
+    of[order] = np.repeat(n, n)
+    return np.sort(order[run]), of
+
+
 def _pieces(texts: list[bytes], match: int, most: int = SLICE_BYTES):
     """Slices of (index of the text, offset in it, bytes); a longer text is cut into pieces that overlap by match - 1 bytes."""
     held, size = [], 0
@@ -159,21 +171,31 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         for held in _pieces(texts, match):
             found = blocks_of([p for _, _, p in held], match, anchor)
             index, offset = (np.array([x[k] for x in held], np.int64)[found["piece"]] for k in (0, 1))
-            yield {"doc_id": batch.column(0).take(pa.array(index)), "text_key": batch.column(1).take(pa.array(index)), "h": found["h"].view(np.int64), "c": found["c"].view(np.int64), "place": (found["first"] + offset) << 8 | (found["count"] - 1)}
-
-    blocks = scratch.keep(map_batches(docs, anchors, f"doc_id {kind}, text_key bigint, h bigint, c bigint, place bigint"), "blocks")
+            first, n = same_blocks(found["h"], found["c"])
+            at, size = found["first"] + offset, found["count"] - 1
+            own = pa.array(index[first])
+            yield {"doc_id": batch.column(0).take(own), "text_key": batch.column(1).take(own), "h": found["h"][first].view(np.int64), "c": found["c"][first].view(np.int64), "place": (at << 8 | size)[first], "n": n[first], "held": [None] * len(first)}
+            told = np.flatnonzero(n > 1)
+            if len(told):
+                new = np.flatnonzero(np.concatenate([[True], index[told[1:]] != index[told[:-1]]]))
+                own, none = pa.array(index[told[new]]), pa.nulls(len(new), pa.int64())
+                yield {"doc_id": batch.column(0).take(own), "text_key": batch.column(1).take(own), **dict.fromkeys(("h", "c", "place", "n"), none), "held": np.split((at * 1024 + size + match)[told], new[1:])}
+
+    # Rows of one content of a slice (n: its places there), and of one text whose blocks the slice itself has found again (held: their spans).
+    both = scratch.keep(map_batches(docs, anchors, f"doc_id {kind}, text_key bigint, h bigint, c bigint, place bigint, n bigint, held array<bigint>"), "blocks")
+    blocks, told = both.filter("h IS NOT NULL").drop("held"), both.filter("h IS NULL").select("doc_id", "text_key", "held")
     # Anchors found twice or more, and whether with one content only.
     # Written, so that the join shuffles both its sides itself and can split a frequent string.
-    twice = scratch.keep(blocks.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "twice")
-    shared = scratch.keep(blocks.join(twice, "h"), "shared")
-    scratch.drop("blocks")
-    contents = scratch.keep(shared.filter("mixed").groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "text_key", "place"))).withColumn("block", F.monotonically_increasing_id()), "contents")
+    twice = scratch.keep(blocks.groupBy("h").agg(F.sum("n").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("n > 1").select("h", (F.col("lo") != F.col("hi")).alias("mixed")), "twice")
+    # One content in one slice: told there.
+    shared = scratch.keep(blocks.join(twice, "h").filter("mixed OR n = 1"), "shared")
+    contents = scratch.keep(shared.filter("mixed").groupBy("h", "c").agg(F.sum("n").alias("n"), *(F.first(x).alias(x) for x in ("doc_id", "text_key", "place"))).withColumn("block", F.monotonically_increasing_id()), "contents")
     # Blocks of a mixed anchor are found again whole where their content is; a semi join keeps rows and never adds any.
-    again = shared.filter("mixed").join(contents.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
+    again = shared.filter("mixed AND n = 1").join(contents.filter("n > 1").select("h", "c"), ["h", "c"], "left_semi")
     whole = shared.filter("NOT mixed").unionByName(again.select(*shared.columns))
     covering = (F.shiftright("place", 8) * 1024 + F.col("place").bitwiseAND(F.lit(255)) + match).alias("span")
-    scratch.keep(whole.select("doc_id", "text_key", covering), "whole")
-    scratch.drop("shared", "twice")
+    scratch.keep(whole.select("doc_id", "text_key", F.array(covering).alias("held")).unionByName(told), "whole")
+    scratch.drop("blocks", "shared", "twice")
     release_shuffles(scratch.spark)
 
     # The bytes of one block of each content, from its document.
@@ -202,9 +224,9 @@ def repeated_spans(df: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
     starts = _repeated_starts(cuts, scratch, match)
     of_doc = F.expr("transform(runs, r -> (first + r.start) * 1024 + r.size)").alias("held")
     opened = starts.join(contents.select("block", "doc_id", "text_key", F.shiftright("place", 8).alias("first")), "block").select("doc_id", "text_key", of_doc)
-    spans = scratch.spark.read.parquet(scratch.path("whole")).select("doc_id", "text_key", F.array("span").alias("held")).unionByName(opened)
-    # Rows that repeat doc_id and text bring the same spans: a set holds them once.
-    return spans.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("held")).alias("spans"))
+    spans = scratch.spark.read.parquet(scratch.path("whole")).unionByName(opened)
+    # Rows that repeat doc_id and text bring the same spans, though not always in the same arrays: each is held once.
+    return spans.groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_set("held"))).alias("spans"))
 
 
 def leading_token(raw: bytes, at: np.ndarray) -> np.ndarray:

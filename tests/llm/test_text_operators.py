@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import bpe_prefix, exact_fingerprint, gif_media, packing, quality_crf, simhash_balls, suffix_dedup, token_counts, token_store, toxic_mil
+from tessera.llm import bpe_prefix, common, exact_fingerprint, gif_media, packing, quality_crf, simhash_balls, suffix_dedup, token_counts, token_store, toxic_mil
 from tessera.llm.common import Scratch
 from tessera.llm.text_kernels import auc
 from tessera.llm.vocab import library, library_ids, pattern, read_ranks, vocabulary
@@ -346,6 +346,26 @@ def test_suffixes(spark, monkeypatch, bucket):
     assert suffix_dedup.removal_digests(df.limit(0)).count() == 0
 
 
+def test_places_of_a_frequent_line_meet_in_their_slice(spark, monkeypatch):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choices("abcde", k=5)) for _ in range(n))
+    line, copied = words(15), words(60)
+    texts = [f"{words(30)} {line * 60}{words(rng.randint(1, 50))}" for _ in range(12)] + [f"{words(9)} {copied} {words(9)}" for _ in range(3)]
+    rows = {}
+
+    def keep(self, df, name, held=common.Scratch.keep, **options):
+        out = held(self, df, name, **options)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(common.Scratch, "keep", keep)
+    # The second has rows of one doc_id and text in slices with other neighbours.
+    for df in (list(enumerate(texts)), [(i, t) for i in (3, 12, 3, 14, 3) for t in (texts[i],)]):
+        got = suffix_dedup.removal_digests(spark.createDataFrame(df, "doc_id long, text string").repartition(3)).collect()
+        assert Counter(tuple(r)[1:] for r in got) == Counter(brute_removal([t for _, t in df]))
+        assert 0 < rows["shared"] < 10 * len(df) and 0 < rows["whole"] < 10 * len(df)
+
+
 def test_multikey_quicksort():
     keys = np.random.default_rng(5).integers(0, 40, (20000, 2))
     order = suffix_dedup.multikey_quicksort(keys, small=50)
