@@ -10,6 +10,8 @@ import base64
 import json
 import os
 import re
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import regex
@@ -17,6 +19,8 @@ import regex
 from .common import cached
 
 MEMO_ENTRIES = 200_000
+#: Characters of a text that are told into words at once; and where only the library can tell part of them.
+STRETCH, SHORT = 1 << 14, 1 << 8
 #: White space as the tokenizer libraries see it (Unicode White_Space).
 WHITE = r"\t-\r \x85\xa0  -     　"
 _CUT = regex.compile(rf"(?<=[^{WHITE}]) (?=[^{WHITE}])")
@@ -65,6 +69,15 @@ def byte_pieces(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def stretches(text: str, most: int = STRETCH) -> Iterator[str]:
+    """A text cut at spaces into stretches of `most` characters and up to the next space; the spaces of the cuts are left out."""
+    at = 0
+    while len(text) - at > most and (cut := text.find(" ", at + most)) >= 0:
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:] if at else text
+
+
 class Memo(dict):
     """What pieces encode to; computes what it lacks, and is emptied between texts when full."""
 
@@ -95,6 +108,14 @@ def split_regex(text: str) -> regex.Pattern:
     return regex.compile(text.replace(r"[^\s", rf"[^{WHITE}").replace(r"\s", rf"[{WHITE}]").replace(r"\S", rf"[^{WHITE}]"))
 
 
+@lru_cache(1)
+def plain_words() -> re.Pattern:
+    """WORD_SPLIT for lower-cased texts of _PLAIN, whose letters and numbers are listed: it gives the same words sooner."""
+    held = sorted({c for i in range(0x250) for c in chr(i).lower()})
+    letters, numbers = ("".join(re.escape(c) for c in held if regex.match(kind, c)) for kind in (r"\p{L}", r"\p{N}"))
+    return re.compile(WORD_SPLIT.replace(r"\p{L}", letters).replace(r"\p{N}", numbers).replace(r"\s", WHITE))
+
+
 #: Options of a file's model that change what its merges give.
 _PLAIN_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
@@ -135,8 +156,14 @@ class Merges:
         self.text = tiktoken.Encoding(os.path.basename(path), pat_str=pattern(), mergeable_ranks={t: r for r, t in enumerate(tokens)}, special_tokens={})
         self.piece = self.text._core_bpe.encode_single_piece
 
+    @cached_property
+    def packed(self) -> list[bytes]:
+        """Each rank's id as four bytes."""
+        data = self.ids.tobytes()
+        return [data[i : i + 4] for i in range(0, len(data), 4)]
+
     def of_word(self, word: str) -> bytes:
-        return self.ids[self.piece(word.encode() + self.end)].tobytes()
+        return b"".join([self.packed[i] for i in self.piece(word.encode() + self.end)])
 
     def count(self, word: str) -> int:
         return len(self.piece(word.encode() + self.end))
@@ -147,12 +174,12 @@ class Merges:
 
 
 class LibraryWords:
-    """Pieces to pre-tokens. What needs more (special strings, scripts whose normalisation or case has rules) goes to the library as it is."""
+    """Pieces, or stretches of them, to pre-tokens. What needs more (special strings, scripts whose normalisation or case has rules) goes to the library as it is."""
 
     def __init__(self, path: str):
         self.lib, self.merges = library(path), Merges(path)
         self.lower = self.lib.normalizer is not None
-        self.split = split_regex(WORD_SPLIT if self.lower else pattern()).findall
+        self.split = plain_words().findall if self.lower else split_regex(pattern()).findall  # for what pre_tokens lets through
         self.special = sorted(str(t.content) for t in self.lib.get_added_tokens_decoder().values())
 
     def pre_tokens(self, piece: str) -> list[str] | None:
@@ -168,8 +195,10 @@ class LibraryWords:
 class LibraryIds:
     """Whole texts to packed ids (little-endian unsigned 32-bit) as the tokenizers library gives them, without special tokens added.
 
-    A file with a normaliser that drops white space is encoded run by run between spaces, from a memo. A file whose
-    merges can't be told by ranks is left to the library.
+    A file with a normaliser that drops white space is encoded stretch by stretch: lower-cased and split at once, each
+    word from a memo, so that merges run once for a word however it is written and whatever it touches. A stretch of
+    which only the library can tell is cut shorter, and then encoded run by run between spaces, from a second memo. A
+    file whose merges can't be told by ranks is left to the library.
     """
 
     def __init__(self, path: str):
@@ -180,24 +209,30 @@ class LibraryIds:
             return
         if not all("<" in s for s in self.by.special):
             raise ValueError("special strings without < are not known here")
-        self.words = Memo(self.by.merges.of_word, most=MEMO_ENTRIES // 2)
-        self.pieces = Memo(self._piece)
+        self.words = Memo(self.by.merges.of_word)
+        self.pieces = Memo(self._piece, most=MEMO_ENTRIES // 2)
 
     def _piece(self, piece: str) -> bytes:
         split = self.by.pre_tokens(piece)
         if split is None:
             return np.array(self.by.whole_piece(piece), "<u4").tobytes()
-        if len(split) == 1:  # held as a piece already
-            return self.by.merges.of_word(split[0])
         return b"".join(self.words.values_of(split))
 
+    def _stretch(self, text: str, short: bool = False) -> bytes:
+        split = self.by.pre_tokens(text)
+        if split is not None:
+            return b"".join(self.words.values_of(split))
+        if not short:
+            return b"".join([self._stretch(s, True) for s in stretches(text, SHORT)])
+        return b"".join(self.pieces.values_of(text.split(" ")))
+
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.by is None:
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if self.by.lower:
-            return b"".join(self.pieces.values_of(text.split(" ")))
+            return b"".join([self._stretch(s) for s in stretches(text)])
         if any(s in text for s in self.by.special):
             return np.array(self.by.whole_piece(text), "<u4").tobytes()
         return self.by.merges.of_text(text)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import bpe_prefix, common, exact_fingerprint, gif_media, packing, quality_crf, simhash_balls, suffix_dedup, token_counts, token_store, toxic_mil
+from tessera.llm import bpe_prefix, common, exact_fingerprint, gif_media, packing, quality_crf, simhash_balls, suffix_dedup, token_counts, token_store, toxic_mil, vocab
 from tessera.llm.common import Scratch
 from tessera.llm.text_kernels import auc
 from tessera.llm.vocab import library, library_ids, pattern, read_ranks, vocabulary
@@ -77,6 +77,28 @@ def test_library_ids(name):
         assert np.frombuffer(library_ids(path)(t), "<u4").tolist() == library(path).encode(t or "", add_special_tokens=False).ids, t
 
 
+def test_words_are_merged_once():
+    path = vocabulary(packing.VOCABULARY)
+    ids, runs = vocab.LibraryIds(path), Counter()
+    piece = ids.by.merges.piece
+    ids.by.merges.piece = lambda word: runs.update([word]) or piece(word)
+    text = "Zyxgluon zyxgluon ZYXGLUON, (zyxgluon) zyxgluon's " * 5000  # of many stretches
+    for t in (text, text + "日本 zyxgluon.", "<|endoftext|>" + text, "zyxgluon " * 40 + "日本" * 9000, "日本" * 9000 + " Zyxgluon" * 3000 + " — zyxgluon"):
+        assert np.frombuffer(ids(t), "<u4").tolist() == library(path).encode(t, add_special_tokens=False).ids
+    assert set(runs.values()) == {1}
+
+
+def test_plain_words():
+    rng, by = random.Random(5), vocab.split_regex(vocab.WORD_SPLIT)
+    plain, common_ones = [chr(i) for i in range(0x250)], "aZé09²½'' \t\n\x1c\x85\xa0.,<stredvml"
+    for _ in range(300):
+        t = "".join(rng.choices(plain, k=150) + rng.choices(common_ones, k=150)).lower()
+        assert vocab.plain_words().findall(t) == by.findall(t)
+    t = "".join(rng.choices("abc  \n", k=500))
+    assert " ".join(vocab.stretches(t, 7)) == t and max(map(len, vocab.stretches("ab " * 50, 7))) == 8
+    assert [*vocab.stretches("", 7)] == [""] and [*vocab.stretches("a" * 50 + " ", 7)] == ["a" * 50, ""]
+
+
 def test_fingerprints(spark, awkward):
     rows = [(1, "Ａbc  Straße x\n"), (2, "abc strasse x"), (3, None), (4, "  "), (5, "é É"), (6, "é é"), (7, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
